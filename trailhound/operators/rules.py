@@ -16,9 +16,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trailhound.operators import slices
+from trailhound.session import materialize
 
 Predicate = Callable[[], Column]
 SECOND = 1_000_000
@@ -149,15 +150,16 @@ def evaluate_threshold(rule: ThresholdRule, events: DataFrame) -> tuple[DataFram
         .select("entity_key", "p.*")
         .withColumn("slice", slices.slice_of(F.col("us"), rule.slice_us))
     )
-    counted = slices.running_totals(
-        points, ["entity_key"], ["us", "kind", "event_id"], {"inside": "delta"}
-    ).filter(F.col("kind") == 0)
-    hot = slices.runs(
-        counted.select(
+    counted = materialize(
+        slices.running_totals(
+            points, ["entity_key"], ["us", "kind", "event_id"], {"inside": "delta"}
+        )
+        .filter(F.col("kind") == 0)
+        .select(
             "entity_key", "slice", "us", "event_id", (F.col("inside") >= rule.threshold).alias("hot")
-        ),
-        ["entity_key"], ["us", "event_id"], "hot",
-    ).withColumn("finding_id", finding_id(rule.rule_id, F.col("entity_key"), F.col("run.event_id")))
+        )
+    )
+    hot = slices.runs(counted, ["entity_key"], ["us", "event_id"], "hot").withColumn("finding_id", finding_id(rule.rule_id, F.col("entity_key"), F.col("run.event_id")))
 
     starts = hot.filter("is_start")
     fired = starts.select(
@@ -175,8 +177,7 @@ def evaluate_threshold(rule: ThresholdRule, events: DataFrame) -> tuple[DataFram
             )
         ).alias("slice"),
     )
-    arrivals = points.filter(F.col("kind") == 0).select("entity_key", "slice", "us", "event_id")
-    lead_in = arrivals.join(reach, ["entity_key", "slice"]).filter(
+    lead_in = counted.join(reach, ["entity_key", "slice"]).filter(
         (F.col("us") >= F.col("start_us") - window)
         & (F.struct("us", "event_id") < F.struct("start_us", "start_event"))
     )
@@ -224,12 +225,14 @@ def evaluate_sequence(rule: SequenceRule, events: DataFrame) -> tuple[DataFrame,
         .select("entity_key", "p.*")
         .withColumn("slice", slices.slice_of(F.col("us"), rule.slice_us))
     )
-    numbered = slices.running_totals(
-        points, ["entity_key"], ["us", "kind", "event_id"],
-        {"inside": "d_inside", "leads": "lead"},
-    ).filter(F.col("kind") == 0)
+    numbered = materialize(
+        slices.running_totals(
+            points, ["entity_key"], ["us", "kind", "event_id"],
+            {"inside": "d_inside", "leads": "lead"},
+        ).filter(F.col("kind") == 0)
+    )
 
-    candidates = (
+    candidates = materialize(
         numbered.filter("trail")
         .select(
             "entity_key", "us", "event_id", "lead",
@@ -242,11 +245,13 @@ def evaluate_sequence(rule: SequenceRule, events: DataFrame) -> tuple[DataFrame,
         .select("entity_key", "n", "c.*")
         .withColumn("slice", slices.slice_of(F.col("us"), rule.slice_us))
     )
-    fires = _greedy_fires(candidates, need)
-    fires = slices.previous_row(
-        fires.withColumn("end", F.col("n") + F.col("lead")),
-        ["entity_key"], ["n"], {"prev_end": "end"},
-    ).withColumn("finding_id", finding_id(rule.rule_id, F.col("entity_key"), F.col("event_id")))
+    fires = materialize(_greedy_fires(candidates, need))
+    fires = materialize(
+        slices.previous_row(
+            fires.withColumn("end", F.col("n") + F.col("lead")),
+            ["entity_key"], ["n"], {"prev_end": "end"},
+        ).withColumn("finding_id", finding_id(rule.rule_id, F.col("entity_key"), F.col("event_id")))
+    )
 
     fired = fires.select(
         "finding_id", "entity_key", F.col("us").alias("anchor_us"),
@@ -303,8 +308,6 @@ def _greedy_fires(candidates: DataFrame, need: int) -> DataFrame:
             ),
         )
     )
-    from pyspark.sql import Window
-
     chain = Window.partitionBy("entity_key").orderBy("slice")
     entry = "cast(greatest(0L, least({need}L, {goal} - base)) as int)"
     low = entry.format(need=need, goal="array_min(before)")
