@@ -131,63 +131,88 @@ def is_object(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
 
 
+# Record fields whose type decides whether a record can be read.
+TYPED = {
+    "identity": "userIdentity",
+    "identity_type": "userIdentity.type",
+    "context": "userIdentity.sessionContext",
+    "attributes": "userIdentity.sessionContext.attributes",
+    "name": "eventName",
+    "service": "eventSource",
+    "time": "eventTime",
+    "address": "sourceIPAddress",
+    "request": "requestParameters",
+    "response": "responseElements",
+    "code": "errorCode",
+    "message": "errorMessage",
+}
+FALSY = ("missing", "null", "empty")
+
+
+def field_kind(part: Column) -> Column:
+    """missing, null, empty (string, list, object, zero, false), string, object, array, scalar."""
+    shape = F.schema_of_variant(part)
+    return (
+        F.when(part.isNull(), "missing")
+        .when(shape == "VOID", "null")
+        .when(F.to_json(part).isin('""', "0", "0.0", "false", "[]", "{}"), "empty")
+        .when(shape == "STRING", "string")
+        .when(shape.startswith("OBJECT"), "object")
+        .when(shape.startswith("ARRAY"), "array")
+        .otherwise("scalar")
+    )
+
+
 def parse_records(records: DataFrame) -> DataFrame:
     """Records to event rows; a field of a type that cannot be read makes an error row."""
 
-    def part(path: str) -> Column:
-        return F.try_variant_get("v", f"$.{path}", "variant")
-
     def text(path: str) -> Column:
         return F.try_variant_get("v", f"$.{path}", "string")
 
-    def kind(path: str) -> Column:
-        """missing, null, string, object, array, or scalar."""
-        shape = F.schema_of_variant(part(path))
-        return (
-            F.when(part(path).isNull(), "missing")
-            .when(F.is_variant_null(part(path)), "null")
-            .when(shape == "STRING", "string")
-            .when(shape.startswith("OBJECT"), "object")
-            .when(shape.startswith("ARRAY"), "array")
-            .otherwise("scalar")
-        )
+    def kind(name: str) -> Column:
+        return F.col(f"kinds.{name}")
 
-    def falsy(path: str) -> Column:
-        """What a plain truth test lets through: missing, null, empty, zero, false."""
-        return kind(path).isin("missing", "null") | F.to_json(part(path)).isin(
-            '""', "0", "0.0", "false", "[]", "{}"
-        )
+    def falsy_or(name: str, wanted: str) -> Column:
+        return kind(name).isin(*FALSY, wanted)
 
-    identity = "userIdentity"
-    context = f"{identity}.sessionContext"
-    failed = ~falsy("errorCode") | ~falsy("errorMessage")
-    string_or_nothing = lambda p: falsy(p) | (kind(p) == "string")
-    object_or_nothing = lambda p: falsy(p) | (kind(p) == "object")
+    failed = ~kind("code").isin(*FALSY) | ~kind("message").isin(*FALSY)
+    name_is_text = kind("name").isin("missing", "string") | (text("eventName") == "")
     readable = (
-        object_or_nothing(identity)
-        & kind("eventName").isin("missing", "string")
-        & ~kind("eventSource").isin("object", "array")
-        & string_or_nothing("eventTime")
-        & string_or_nothing("sourceIPAddress")
-        & ~kind(f"{identity}.type").isin("object", "array")
-        & kind(context).isin("missing", "object")
-        & kind(f"{context}.attributes").isin("missing", "object")
-        & (failed | object_or_nothing("responseElements"))
+        falsy_or("identity", "object")
+        & name_is_text
+        & ~kind("service").isin("object", "array")
+        & falsy_or("time", "string")
+        & falsy_or("address", "string")
+        & ~kind("identity_type").isin("object", "array")
+        & kind("context").isin("missing", "object", "empty")
+        & kind("attributes").isin("missing", "object", "empty")
+        & (failed | falsy_or("response", "object"))
     )
-    staged = records.withColumn(
-        "error",
-        F.coalesce("error", F.when(~F.coalesce(readable, F.lit(False)), "malformed record")),
-    ).withColumns(
-        {
-            "name": F.coalesce(text("eventName"), F.lit("unknown")),
-            "service": F.coalesce(text("eventSource"), F.lit("")),
-            "console": blank_to_null(text("responseElements.ConsoleLogin")),
-            "arn": blank_to_null(text(f"{identity}.arn")),
-            "failed": failed,
-        }
+    kinds = F.struct(
+        *[
+            field_kind(F.try_variant_get("v", f"$.{path}", "variant")).alias(name)
+            for name, path in TYPED.items()
+        ]
+    )
+    staged = (
+        records.withColumn("kinds", kinds)
+        .withColumns(
+            {
+                "failed": failed,
+                "error": F.coalesce(
+                    "error", F.when(~F.coalesce(readable, F.lit(False)), "malformed record")
+                ),
+                "name": F.coalesce(text("eventName"), F.lit("unknown")),
+                "service": F.coalesce(text("eventSource"), F.lit("")),
+                "console": blank_to_null(text("responseElements.ConsoleLogin")),
+                "arn": blank_to_null(text("userIdentity.arn")),
+                "request_arn": F.when(
+                    kind("request") == "object", text("requestParameters.policyArn")
+                ),
+            }
+        )
     )
     emitted = F.col("error").isNull()
-    request_arn = F.when(kind("requestParameters") == "object", text("requestParameters.policyArn"))
     return staged.select(
         "file", "line_no", emitted.alias("emitted"), "blank", "error",
         F.when(~emitted, F.col("value")).alias("excerpt"),
@@ -200,21 +225,23 @@ def parse_records(records: DataFrame) -> DataFrame:
         F.when(F.col("failed"), "failure")
         .when(F.col("console").isNotNull() & (F.col("console") != "Success"), "failure")
         .otherwise("success").alias("outcome"),
-        F.coalesce(blank_to_null(text(f"{identity}.userName")), "arn").alias("actor_name"),
-        F.coalesce("arn", blank_to_null(text(f"{identity}.principalId"))).alias("actor_id"),
-        lookup(F.coalesce(text(f"{identity}.type"), F.lit("")), ACTOR_KINDS, F.lit("unknown")).alias("actor_type"),
+        F.coalesce(blank_to_null(text("userIdentity.userName")), "arn").alias("actor_name"),
+        F.coalesce("arn", blank_to_null(text("userIdentity.principalId"))).alias("actor_id"),
+        lookup(
+            F.coalesce(text("userIdentity.type"), F.lit("")), ACTOR_KINDS, F.lit("unknown")
+        ).alias("actor_type"),
         clean_ip(text("sourceIPAddress")).alias("source_ip"),
         text("userAgent").alias("user_agent"),
         text("recipientAccountId").alias("account"),
         F.when(F.col("service") != "", F.concat_ws(":", "service", "name"))
         .otherwise(F.col("name")).alias("target_resource"),
-        request_arn.alias("policy_arn"),
+        F.col("request_arn").alias("policy_arn"),
         F.create_map(
             F.lit("aws_region"), text("awsRegion"),
             F.lit("event_id"), text("eventID"),
             F.lit("error_code"), text("errorCode"),
             F.lit("error_message"), text("errorMessage"),
-            F.lit("policy_arn"), request_arn,
-            F.lit("mfa_authenticated"), text(f"{context}.attributes.mfaAuthenticated"),
+            F.lit("policy_arn"), F.col("request_arn"),
+            F.lit("mfa_authenticated"), text("userIdentity.sessionContext.attributes.mfaAuthenticated"),
         ).alias("extra"),
     )

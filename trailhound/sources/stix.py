@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trailhound.functions.text import parent_technique
 from trailhound.operators.catalog import TECHNIQUE
 
 SOURCE_NAME = "mitre-attack"  # fixed value: whose ids and phases count
 
-BUNDLE = T.StructType.fromDDL(
+BUNDLE = (
     """id string, spec_version string,
     objects array<struct<
       type: string, name: string, revoked: boolean, x_mitre_deprecated: boolean,
@@ -23,13 +23,16 @@ def read_bundle(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BUNDLE).json(path, multiLine=True)
 
 
-def _patterns(bundle: DataFrame) -> DataFrame:
-    return bundle.select(
-        "id", "spec_version", F.posexplode("objects").alias("at", "o")
-    ).filter(F.col("o.type") == "attack-pattern")
+def bundle_objects(bundle: DataFrame) -> DataFrame:
+    """(id, spec_version, at, o): the objects of a bundle with their places in it."""
+    return bundle.select("id", "spec_version", F.posexplode("objects").alias("at", "o"))
 
 
-def techniques(bundle: DataFrame) -> DataFrame:
+def _patterns(objects: DataFrame) -> DataFrame:
+    return objects.filter(F.col("o.type") == "attack-pattern")
+
+
+def techniques(objects: DataFrame) -> DataFrame:
     """One row per technique id; of objects sharing an id the last one counts."""
     refs = F.filter("o.external_references", lambda r: r["source_name"] == SOURCE_NAME)
     ids = F.filter(refs, lambda r: F.coalesce(r["external_id"], F.lit("")) != "")
@@ -41,15 +44,16 @@ def techniques(bundle: DataFrame) -> DataFrame:
     def first(items: Column, field: str) -> Column:
         return F.try_element_at(items, F.lit(1))[field]
 
-    rows = _patterns(bundle).select(
+    rows = _patterns(objects).select(
         "at",
         first(ids, "external_id").alias("technique_id"),
         F.coalesce("o.name", F.lit("")).alias("name"),
         F.coalesce(
             F.transform(phases, lambda p: p["phase_name"]), F.array().cast("array<string>")
         ).alias("tactics"),
-        F.coalesce(F.col("o.revoked") | F.col("o.x_mitre_deprecated"), F.col("o.revoked"),
-                   F.col("o.x_mitre_deprecated"), F.lit(False)).alias("deprecated"),
+        (
+            F.coalesce("o.revoked", F.lit(False)) | F.coalesce("o.x_mitre_deprecated", F.lit(False))
+        ).alias("deprecated"),
         F.coalesce(first(refs, "url"), F.lit("")).alias("url"),
     ).filter(F.col("technique_id").isNotNull())
     last = rows.groupBy("technique_id").agg(
@@ -61,13 +65,13 @@ def techniques(bundle: DataFrame) -> DataFrame:
     )
 
 
-def catalog_meta(bundle: DataFrame, catalog: DataFrame) -> DataFrame:
+def catalog_meta(objects: DataFrame, catalog: DataFrame) -> DataFrame:
     """One row of counts and version marks; `unknown` where the bundle says nothing."""
-    marks = _patterns(bundle).agg(
+    marks = _patterns(objects).agg(
         F.max(F.nullif("o.x_mitre_attack_spec_version", F.lit(""))).alias("spec"),
         F.max(F.nullif("o.modified", F.lit(""))).alias("modified"),
     )
-    ident = bundle.agg(F.first("spec_version").alias("stix"), F.first("id").alias("bundle"))
+    ident = objects.agg(F.min("spec_version").alias("stix"), F.min("id").alias("bundle"))
     counts = catalog.agg(
         F.count(F.lit(1)).alias("technique_count"),
         F.count_if(~F.col("deprecated")).alias("active_count"),
