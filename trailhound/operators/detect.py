@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -26,7 +27,9 @@ class Detection:
 
     def materialized(self) -> "Detection":
         """Write both tables once, so that later stages do not run the rules again."""
-        return Detection(materialize(self.findings), materialize(self.evidence), self.rules)
+        with ThreadPoolExecutor(max_workers=2) as pool:
+            findings, evidence = pool.map(materialize, (self.findings, self.evidence))
+        return Detection(findings, evidence, self.rules)
 
 
 def run_rule(rule: Rule, events: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -98,11 +101,11 @@ def detect(events: DataFrame, rules: Sequence[Rule] | None = None) -> Detection:
     chosen = tuple(DEFAULT_RULES if rules is None else rules)
     if not chosen:
         raise ValueError("no rules to run")
-    findings, evidence = [], []
-    for order, rule in enumerate(chosen):
-        found, rows = run_rule(rule, events)
-        findings.append(found.withColumn("rule_order", F.lit(order)))
-        evidence.append(rows)
+    # Rules do not depend on each other, so their jobs share the cluster.
+    with ThreadPoolExecutor(max_workers=len(chosen)) as pool:
+        results = list(pool.map(lambda rule: run_rule(rule, events), chosen))
+    findings = [f.withColumn("rule_order", F.lit(i)) for i, (f, _) in enumerate(results)]
+    evidence = [e for _, e in results]
     return Detection(
         reduce(DataFrame.unionByName, findings), reduce(DataFrame.unionByName, evidence), chosen
     )

@@ -397,7 +397,8 @@ def distinct_records(spark, sf):
         p.found.detail.join(p.found.members.filter("kept").select("finding_id", "incident_key"), "finding_id")
         .dropDuplicates(["incident_key", "evidence_hash", "raw_hash"])
         .join(p.found.incidents.select("incident_key", "incident_id"), "incident_key")
-        .groupBy("incident_id").agg(F.count(F.lit(1)).alias("records"))
+        .groupBy("incident_key", "incident_id").agg(F.count(F.lit(1)).alias("records"))
+        .select("incident_id", "records")
     )
 
 

@@ -83,12 +83,22 @@ def event_action(name: Column) -> Column:
     return lookup(name, {k: v[1] for k, v in EVENT_NAMES.items()}, snake(name))
 
 
+def once(value: Column) -> Column:
+    """The value out of a generator: a plain column would be worked out again in every
+    filter that the optimizer pushes below it."""
+    return F.explode(F.array(value))
+
+
+def parsed_once(text: Column | str) -> Column:
+    return once(F.try_parse_json(text))
+
+
 def document_records(documents: DataFrame) -> DataFrame:
     """(file, line_no, v, value, error): one row per record of whole-file JSON.
 
     A file that is no single JSON value is read again line by line.
     """
-    whole = documents.withColumn("root", F.try_parse_json("content"))
+    whole = documents.select("file", "content", parsed_once("content").alias("root"))
     kind = F.schema_of_variant("root")
     bundled = F.try_variant_get("root", "$.Records", "variant")
     list_of = F.coalesce(
@@ -119,7 +129,7 @@ def line_records(lines: DataFrame) -> DataFrame:
     """One row per non-blank line that is an object or no JSON; other JSON values are dropped."""
     value = strip(F.col("value"))
     parsed = lines.filter(value != "").select(
-        "file", "line_no", F.try_parse_json(value).alias("v"), value.alias("value")
+        "file", "line_no", value.alias("value"), parsed_once(value).alias("v")
     )
     return parsed.filter(F.col("v").isNull() | is_object(F.col("v"))).select(
         "file", "line_no", "v", "value", F.lit(False).alias("blank"),
@@ -170,7 +180,7 @@ def parse_records(records: DataFrame) -> DataFrame:
         return F.try_variant_get("v", f"$.{path}", "string")
 
     def kind(name: str) -> Column:
-        return F.col(f"kinds.{name}")
+        return F.col(f"kind_{name}")
 
     def falsy_or(name: str, wanted: str) -> Column:
         return kind(name).isin(*FALSY, wanted)
@@ -188,20 +198,22 @@ def parse_records(records: DataFrame) -> DataFrame:
         & kind("attributes").isin("missing", "object", "empty")
         & (failed | falsy_or("response", "object"))
     )
-    kinds = F.struct(
-        *[
-            field_kind(F.try_variant_get("v", f"$.{path}", "variant")).alias(name)
-            for name, path in TYPED.items()
-        ]
-    )
+    # Parts first, then kinds, then what is made of kinds: columns used several times stay
+    # columns and are worked out once per record.
+    parts = {
+        f"part_{name}": F.try_variant_get("v", f"$.{path}", "variant") for name, path in TYPED.items()
+    }
+    kinds = {f"kind_{name}": field_kind(F.col(f"part_{name}")) for name in TYPED}
     staged = (
-        records.withColumn("kinds", kinds)
+        records.withColumns(parts)
+        .withColumns(kinds)
+        .withColumn("failed", failed)
+        .withColumn("_error", once(
+            F.coalesce("error", F.when(~F.coalesce(readable, F.lit(False)), "malformed record"))
+        ))
+        .drop("error").withColumnRenamed("_error", "error")
         .withColumns(
             {
-                "failed": failed,
-                "error": F.coalesce(
-                    "error", F.when(~F.coalesce(readable, F.lit(False)), "malformed record")
-                ),
                 "name": F.coalesce(text("eventName"), F.lit("unknown")),
                 "service": F.coalesce(text("eventSource"), F.lit("")),
                 "console": blank_to_null(text("responseElements.ConsoleLogin")),
