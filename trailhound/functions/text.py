@@ -10,13 +10,26 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^[\s\x1c-\x1f\x85\xa0]+|[\s\x1c-\x1f\x85\xa0]+\z", "")
 
 
-def casefold(c: Column) -> Column:
-    """Case-insensitive form: upper then lower also folds sharp s and ligatures.
+# Characters whose case-folded form is not their lower-case form, by rule.
+_FOLDS = {
+    chr(i): chr(i).casefold()
+    for i in range(0x80, 0x20000)
+    if chr(i).casefold() != chr(i).lower()
+}
+_FOLD_MAP = "map(" + ", ".join(f"'{a}', '{b}'" for a, b in _FOLDS.items()) + ")"
+
 
-    Dotless i is the one letter that round trip would change, so it keeps `lower`.
-    """
-    folded = F.replace(F.lower(F.upper(c)), F.lit("\u03c2"), F.lit("\u03c3"))
-    return F.when(c.contains("\u0131"), F.lower(c)).otherwise(folded)
+def casefold(c: Column) -> Column:
+    """Case-insensitive form. Plain ASCII, the usual case, needs `lower` only."""
+    folds = F.expr(_FOLD_MAP)
+    folded = F.array_join(
+        F.transform(
+            F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)),
+            lambda ch: F.coalesce(F.try_element_at(folds, ch), F.lower(ch)),
+        ),
+        "",
+    )
+    return F.when(c.rlike("[^\\x00-\\x7f]"), folded).otherwise(F.lower(c))
 
 
 def snake(name: Column) -> Column:

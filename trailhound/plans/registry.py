@@ -23,7 +23,7 @@ from trailhound.operators.detect import (
 from trailhound.operators.rules import Rule
 from trailhound.plans import incidents as inc
 from trailhound.plans import model_text as mt
-from trailhound.session import ensure_checkpoint_dir, materialize, pin_utc
+from trailhound.session import ensure_checkpoint_dir, materialize, pin_settings
 from trailhound.sources import cloudaudit, formats, hostlog, ingest, render, stix
 from trailhound.sources.adapter import load_events
 from trailhound.sources.store import EventStore
@@ -35,7 +35,7 @@ _queries: dict[str, Query] = {}
 
 def query(fn: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        pin_utc(spark)
+        pin_settings(spark)
         return fn(spark, sf_dir)
 
     _queries[fn.__name__] = run

@@ -22,12 +22,15 @@ def build_session(master: str = "local[8]", app: str = "trailhound", **conf) ->
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
+    pin_settings(spark)
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
-def pin_utc(spark: SparkSession) -> None:
+def pin_settings(spark: SparkSession) -> None:
+    """Times are UTC; of repeated keys in a JSON object the last one counts."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from trailhound.functions.json_values import once, with_json
 from trailhound.functions.labels import lookup
 from trailhound.functions.text import blank_to_null, snake, strip
 from trailhound.sources.lines import document_lines
@@ -83,22 +84,12 @@ def event_action(name: Column) -> Column:
     return lookup(name, {k: v[1] for k, v in EVENT_NAMES.items()}, snake(name))
 
 
-def once(value: Column) -> Column:
-    """The value out of a generator: a plain column would be worked out again in every
-    filter that the optimizer pushes below it."""
-    return F.explode(F.array(value))
-
-
-def parsed_once(text: Column | str) -> Column:
-    return once(F.try_parse_json(text))
-
-
 def document_records(documents: DataFrame) -> DataFrame:
     """(file, line_no, v, value, error): one row per record of whole-file JSON.
 
     A file that is no single JSON value is read again line by line.
     """
-    whole = documents.select("file", "content", parsed_once("content").alias("root"))
+    whole = with_json(documents, F.col("content"), "root")
     kind = F.schema_of_variant("root")
     bundled = F.try_variant_get("root", "$.Records", "variant")
     list_of = F.coalesce(
@@ -128,8 +119,8 @@ def document_records(documents: DataFrame) -> DataFrame:
 def line_records(lines: DataFrame) -> DataFrame:
     """One row per non-blank line that is an object or no JSON; other JSON values are dropped."""
     value = strip(F.col("value"))
-    parsed = lines.filter(value != "").select(
-        "file", "line_no", value.alias("value"), parsed_once(value).alias("v")
+    parsed = with_json(
+        lines.filter(value != "").select("file", "line_no", value.alias("value")), F.col("value"), "v"
     )
     return parsed.filter(F.col("v").isNull() | is_object(F.col("v"))).select(
         "file", "line_no", "v", "value", F.lit(False).alias("blank"),

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from trailhound.functions.json_values import strict_json
 from trailhound.functions.text import strip
 from trailhound.sources import cloudaudit, hostlog
 
@@ -58,7 +59,7 @@ def detect_formats(
         *[fmt.score().alias(f"s{i}") for i, fmt in enumerate(formats)],
         (F.count_if(value != "") > 0).alias("has_text"),
         (
-            F.try_parse_json(first).isNotNull() & (F.count_if(value != "") > 1)
+            strict_json(first).isNotNull() & (F.count_if(value != "") > 1)
         ).alias("line_delimited"),
     )
     best = F.greatest(*[F.col(f"s{i}") for i in range(len(formats))]) if len(formats) > 1 else F.col("s0")

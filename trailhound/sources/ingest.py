@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from trailhound.functions.entities import with_entity_keys
 from trailhound.functions.hashing import with_hashes
 from trailhound.schema import EVENT, conform
-from trailhound.session import materialize, pin_utc
+from trailhound.session import materialize, pin_settings
 from trailhound.sources.formats import (
     DEFAULT_FORMATS, MIN_CONFIDENCE, LogFormat, detect_formats, rejected_files,
 )
-from trailhound.sources.lines import list_files, read_documents, read_lines
+from trailhound.sources.lines import read_documents, read_lines
 from trailhound.sources.store import EventStore
 
 # Recorded errors per run and characters of an excerpt.
@@ -121,15 +121,9 @@ def ingest(
     min_confidence: float = MIN_CONFIDENCE,
 ) -> IngestResult:
     """Load log files into the store. Loading the same files again stores nothing new."""
-    pin_utc(spark)
+    pin_settings(spark)
     lines = read_lines(spark, path)
-    found = detect_formats(lines, formats, min_confidence)
-    detected = materialize(
-        list_files(spark, path).select("file").join(found, "file", "left").select(
-            "file", "source_type", F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
-            F.coalesce("line_delimited", F.lit(False)).alias("line_delimited"),
-        )
-    )
+    detected = materialize(detect_formats(lines, formats, min_confidence))
     parsed = materialize(
         parse_files(spark, path, detected, lines, formats, default_year=default_year, zone=zone)
     )

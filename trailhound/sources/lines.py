@@ -15,7 +15,8 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, line_no, value), bad bytes replaced.
 
     Files stay splittable: a line's number is its place in its block plus the lines of
-    the blocks before it, so no file is read by a single task.
+    the blocks before it, so no file is read by a single task. Files without a byte have
+    no row here, as in any Spark scan.
     """
     read = spark.read.text(path).select(
         F.make_valid_utf8("value").alias("value"),
@@ -39,13 +40,6 @@ def read_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, length); file contents are not read."""
-    return spark.read.format("binaryFile").load(path).select(
-        F.col("_metadata.file_path").alias("file"), "length"
-    )
-
-
 def document_lines(documents: DataFrame) -> DataFrame:
     parts = F.split("content", ANY_BREAK)
     return documents.select("file", F.posexplode(parts).alias("at", "value")).select(
