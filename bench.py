@@ -19,7 +19,7 @@ from trailhound.operators.catalog import built_in_catalog  # noqa: E402
 from trailhound.operators.detect import detect, run_rule  # noqa: E402
 from trailhound.plans import incidents as inc  # noqa: E402
 from trailhound.plans import registry  # noqa: E402
-from trailhound.session import build_session  # noqa: E402
+from trailhound.session import build_session, materialize  # noqa: E402
 from trailhound.sources.adapter import load_events  # noqa: E402
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -32,25 +32,32 @@ def drain(df) -> None:
 
 
 def stages(spark, folder):
-    events = load_events(spark, folder)
     state = {}
+    # Log text is made from the tables first and is not part of any timing.
+    registry.host_lines(spark, folder).count()
+    registry.cloud_lines(spark, folder).count()
+    registry.written("outputs", spark, folder, registry.model_outputs).count()
+
+    def store():
+        state["events"] = materialize(load_events(spark, folder))
 
     def rule(r):
         def run():
-            findings, evidence = run_rule(r, events)
+            findings, evidence = run_rule(r, state["events"])
             drain(findings)
             drain(evidence)
         return run
 
     def run_detect():
-        state["d"] = detect(events).materialized()
+        state["d"] = detect(state["events"]).materialized()
 
     def run_correlate():
-        state["c"] = cor.correlate(state["d"], events, built_in_catalog(spark))
+        state["c"] = cor.correlate(state["d"], state["events"], built_in_catalog(spark))
 
     def query(name):
         return lambda: drain(registry.queries()[name](spark, folder))
 
+    yield "store_events", store
     yield "entity_fan_out", query("entity_fan_out")
     yield "dedup_hashes", query("dedup_hashes")
     yield "dedup_first", query("dedup_first")
@@ -76,7 +83,7 @@ def main() -> None:
         run()
         timings[name] = round(time.perf_counter() - start, 3)
     events = spark.read.parquet(f"{FOLDER}/events.parquet").count()
-    main_path = timings["detect_all_rules"] + timings["correlate"] + timings["queue"]
+    main_path = timings["store_events"] + timings["detect_all_rules"] + timings["correlate"] + timings["queue"]
     print(json.dumps({
         "metric": "raw events to ranked incident queue",
         "value": round(main_path, 3),

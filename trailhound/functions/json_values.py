@@ -9,8 +9,9 @@ _END = "~end~"
 
 def once(value: Column) -> Column:
     """The value out of a generator: a plain column would be worked out again in every
-    filter that the optimizer pushes below it."""
-    return F.explode(F.array(value))
+    filter that the optimizer pushes below it. The outer form, as the plain one adds such
+    a filter itself."""
+    return F.explode_outer(F.array(value))
 
 
 def _wrapped(text: Column) -> Column:

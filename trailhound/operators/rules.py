@@ -145,7 +145,9 @@ def evaluate_threshold(rule: ThresholdRule, events: DataFrame) -> tuple[DataFram
     points = (
         rows.select(
             "entity_key",
-            F.explode(F.when(leaves, F.array(arrival, expiry)).otherwise(F.array(arrival))).alias("p"),
+            F.explode_outer(
+                F.when(leaves, F.array(arrival, expiry)).otherwise(F.array(arrival))
+            ).alias("p"),
         )
         .select("entity_key", "p.*")
         .withColumn("slice", slices.slice_of(F.col("us"), rule.slice_us))
@@ -218,7 +220,7 @@ def evaluate_sequence(rule: SequenceRule, events: DataFrame) -> tuple[DataFrame,
     points = (
         rows.select(
             "entity_key",
-            F.explode(
+            F.explode_outer(
                 F.when(F.col("lead") == 1, F.array(arrival, expiry)).otherwise(F.array(arrival))
             ).alias("p"),
         )

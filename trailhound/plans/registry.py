@@ -71,7 +71,7 @@ def forget() -> None:
 def detection(spark: SparkSession, sf_dir: str) -> Detection:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _detections:
-        _detections[key] = detect(load_events(spark, sf_dir)).materialized()
+        _detections[key] = detect(stored_events(spark, sf_dir)).materialized()
     return _detections[key]
 
 
@@ -79,7 +79,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> Pipeline:
     """Findings and incidents of a folder, written once and read by every query on them."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _pipelines:
-        events = load_events(spark, sf_dir)
+        events = stored_events(spark, sf_dir)
         found = detection(spark, sf_dir)
         catalog = cat.built_in_catalog(spark)
         _pipelines[key] = Pipeline(events, found, cor.correlate(found, events, catalog), catalog)
@@ -97,6 +97,11 @@ def written(name: str, spark: SparkSession, sf_dir: str, make: Query) -> DataFra
     return _tables[key]
 
 
+def stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The normalized events as the event store keeps them: keys and fingerprints are columns."""
+    return written("events", spark, sf_dir, load_events)
+
+
 def host_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written("host", spark, sf_dir, render.host_lines)
 
@@ -132,7 +137,7 @@ def entity_fan_out(spark, sf):
 
 @query
 def entity_lookup(spark, sf):
-    rows = touching(load_events(spark, sf), "host:host3", "2024-01-01 00:10:00", "2024-01-01 00:40:00")
+    rows = touching(stored_events(spark, sf), "host:host3", "2024-01-01 00:10:00", "2024-01-01 00:40:00")
     return rows.select("event_id", us("ts").alias("us"), "category", "action", "outcome")
 
 
@@ -181,7 +186,7 @@ def auth_outcomes(spark, sf):
 
 
 def _partly_undated(spark, sf) -> DataFrame:
-    events = load_events(spark, sf)
+    events = stored_events(spark, sf)
     return events.withColumn("ts", F.when(F.col("event_id") % 97 != 0, F.col("ts")))
 
 
@@ -195,7 +200,7 @@ def undated_events(spark, sf):
 
 @query
 def category_prefilter(spark, sf):
-    events = load_events(spark, sf)
+    events = stored_events(spark, sf)
     parts = [
         events.filter(rule.scope()).select(F.explode("entity_keys").alias("entity_key"))
         .groupBy("entity_key").agg(F.count(F.lit(1)).alias("events"))
@@ -258,7 +263,7 @@ def _findings(findings: DataFrame) -> DataFrame:
 
 def _rule_query(name: str, rule: Rule) -> None:
     def run(spark, sf):
-        return _findings(run_rule(rule, load_events(spark, sf))[0])
+        return _findings(run_rule(rule, stored_events(spark, sf))[0])
 
     run.__name__ = name
     query(run)
@@ -289,7 +294,7 @@ def rule_subset(spark, sf):
     from dataclasses import replace
 
     wide = replace(lib.BRUTE_FORCE, threshold=8, window_us=20 * 60_000_000)
-    return _findings(detect(load_events(spark, sf), [wide, lib.ADMIN_POLICY]).findings)
+    return _findings(detect(stored_events(spark, sf), [wide, lib.ADMIN_POLICY]).findings)
 
 
 @query

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from trailhound.functions.json_values import once
 from trailhound.functions.text import blank_to_null, strip
 
 SOURCE_TYPE = "syslog_sshd"
@@ -68,7 +69,7 @@ def parse(lines: DataFrame, default_year: int, zone: str = "UTC") -> DataFrame:
         F.when(msg.rlike(FAILED_INVALID), 1).when(msg.rlike(FAILED), 2)
         .when(msg.rlike(INVALID), 3).when(msg.rlike(ACCEPTED), 4)
     )
-    classed = headed.withColumn("which", which)
+    classed = headed.select("*", once(which).alias("which"))
 
     def group(first: int, accepted: int) -> Column:
         return (
