@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trailhound.functions import labels
 from trailhound.functions.entities import event_entities, key_rank, touching
@@ -20,7 +20,8 @@ from trailhound.operators import library as lib
 from trailhound.operators.detect import (
     Detection, detect, detection_stats, findings_per_entity, run_rule,
 )
-from trailhound.operators.rules import Rule
+from trailhound.operators.rules import HOUR, Rule
+from trailhound.operators.slices import running_totals, slice_of
 from trailhound.plans import incidents as inc
 from trailhound.plans import model_text as mt
 from trailhound.session import ensure_checkpoint_dir, materialize, pin_settings
@@ -463,8 +464,12 @@ def incident_detail(spark, sf):
 @query
 def incident_timeline(spark, sf):
     p = pipeline(spark, sf)
-    place = F.row_number().over(Window.partitionBy("incident_key").orderBy("timeline_position"))
-    return inc.timeline(p.found, p.catalog).withColumn("place", place).select(
+    rows = inc.timeline(p.found, p.catalog).select(
+        "*", F.lit(1).alias("one"),
+        F.coalesce(slice_of(us("last_seen"), HOUR), F.lit(1 << 62)).alias("slice"),
+    )
+    placed = running_totals(rows, ["incident_key"], ["timeline_position"], {"place": "one"})
+    return placed.select(
         "incident_id", "place", "finding_id", us("first_seen").alias("first_us"),
         us("last_seen").alias("last_us"), "rule_id", "title", "technique_id", "technique_name",
         "source_type", "source_kind", "evidence_count", "span",

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from trailhound.functions.entities import with_entity_keys
 from trailhound.functions.hashing import with_hashes
+from trailhound.operators.slices import running_totals
 from trailhound.schema import EVENT, conform
 from trailhound.session import materialize, pin_settings
 from trailhound.sources.formats import (
@@ -22,6 +23,7 @@ from trailhound.sources.store import EventStore
 MAX_ERRORS = 100
 EXCERPT_CHARS = 200
 SEQ_BITS = 36
+FILE_SLICES = 1024
 
 
 @dataclass(frozen=True)
@@ -128,10 +130,13 @@ def ingest(
         parse_files(spark, path, detected, lines, formats, default_year=default_year, zone=zone)
     )
     base = store.last_ingest_id()
-    # One row per file: the only global ordering, over file names.
+    # Runs are numbered file by file; hash slices keep the numbering off a single task.
+    recognised = detected.filter(F.col("source_type").isNotNull()).select(
+        "*", F.lit(1).alias("one"), F.pmod(F.xxhash64("file"), F.lit(FILE_SLICES)).alias("slice")
+    )
     files = materialize(
-        detected.filter(F.col("source_type").isNotNull())
-        .withColumn("ingest_id", F.lit(base) + F.row_number().over(Window.orderBy("file")))
+        running_totals(recognised, ["one"], ["file"], {"number": "one"})
+        .withColumn("ingest_id", F.lit(base) + F.col("number"))
         .select("file", "ingest_id", "source_type", F.round("confidence", 3).alias("detected_confidence"))
     )
     numbered = (

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from trailhound.operators.slices import running_totals
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 # Line breaks a text reader does not split on but Python's splitlines does.
 RARE_BREAKS = "[\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
@@ -24,13 +22,35 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.col("_metadata.file_block_start").alias("slice"),
         F.monotonically_increasing_id().alias("seq"),
     )
-    pieces = F.when(F.col("value").rlike(RARE_BREAKS), F.split("value", RARE_BREAKS)).otherwise(
-        F.array("value")
+    rare = F.col("value").rlike(RARE_BREAKS)
+    pieces = F.size(F.split("value", RARE_BREAKS))
+    # The rows of a block are read one after the other, so their ids are consecutive and a
+    # line's place in its block is a subtraction. One small row per block is joined back;
+    # while that table is small enough to broadcast, the text itself is never shuffled.
+    before = Window.partitionBy("file").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (
+        read.groupBy("file", "slice")
+        .agg(
+            F.min("seq").alias("first"),
+            F.sum(F.when(rare, pieces).otherwise(1)).alias("lines"),
+            F.max(rare).alias("odd"),
+        )
+        .withColumn("carry", F.coalesce(F.sum("lines").over(before), F.lit(0)))
+        .drop("lines")
+    )
+    placed = read.join(blocks, ["file", "slice"])
+    plain = placed.filter(~F.col("odd")).select(
+        "file", (F.col("carry") + F.col("seq") - F.col("first") + 1).alias("line_no"), "value"
+    )
+    within = Window.partitionBy("file", "slice").orderBy("seq", "piece")
+    odd = (
+        placed.filter("odd")
+        .select(
+            "file", "slice", "seq", "carry", F.posexplode(F.split("value", RARE_BREAKS)).alias("piece", "value")
+        )
+        .select("file", (F.col("carry") + F.row_number().over(within)).alias("line_no"), "value")
     )
-    rows = read.select("file", "slice", "seq", F.posexplode(pieces).alias("piece", "value"))
-    return running_totals(
-        rows.withColumn("one", F.lit(1)), ["file"], ["seq", "piece"], {"line_no": "one"}
-    ).select("file", "line_no", "value")
+    return plain.unionByName(odd)
 
 
 def read_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
