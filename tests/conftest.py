@@ -18,7 +18,7 @@ START = dt.datetime(2026, 8, 2, 4, 41, tzinfo=dt.timezone.utc)
 
 @pytest.fixture(scope="session")
 def spark():
-    return build_session("local[4]", spark__sql__shuffle__partitions="4")
+    return build_session("local[4]", spark__sql__shuffle__partitions="2")
 
 
 @pytest.fixture
