@@ -10,7 +10,6 @@ import re
 MINUTE = 60_000_000
 
 BLOCKS: dict[str, str] = {}
-MATERIALIZED: set[str] = set()
 
 
 def block(name: str, text: str) -> None:

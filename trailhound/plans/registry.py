@@ -12,7 +12,7 @@ from trailhound.functions import labels
 from trailhound.functions.entities import event_entities, key_rank, touching
 from trailhound.functions.predicates import auth_failure, auth_success
 from trailhound.functions.text import (
-    flatten_line, is_subtechnique, iso_utc, normalize_technique, parent_technique, snake, strip,
+    flatten_line, is_subtechnique, iso_utc, normalize_technique, parent_technique, snake,
 )
 from trailhound.operators import catalog as cat
 from trailhound.operators import correlate as cor
