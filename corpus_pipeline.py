@@ -2,37 +2,62 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
 read again as the next stage's documents. All but the last return the columns of documents.
+Rows that share a doc_id share its fate: if one is rejected, all are.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trailhound.llm import packing, quality, simhash
+from trailhound.llm import packing, pii, quality, simhash, toxicity
 from trailhound.llm.common import read_table
 from trailhound.session import materialize
 
-#: No stage's method (robust estimates, tokenizer ids, XXH64 bits, a fitted model) can be said in SQL.
+#: No stage's method (robust estimates, a fitted model, XXH64 bits, tokenizer ids) can be said in SQL.
 ORACLE_SQL = None
 
 
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    gone = rejected.select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or lie far from their group are dropped."""
-    verdict = quality.judge_quality(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(verdict, "doc_id", "left_semi")
+    """Documents that fail the base rules or lie far from their group go."""
+    return _without(docs, quality.judge_quality(docs).filter("NOT kept"))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored as toxic go; the model learns from labelled documents of this stage."""
+    found = toxicity.toxicity(docs, read_table(spark, sf_dir, "labels"))
+    return _without(docs, found.filter("predicted = 1"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the least id stays."""
-    first = simhash.near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi")
+    found = simhash.near_duplicates(docs)
+    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
+    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["first_id"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"])
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind; every document stays."""
+    return pii.mask_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the remaining documents, in sequences."""
     return packing.pack(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("packing", pack)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", near_dedup),
+    ("personal_data", mask_personal_data),
+    ("packing", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trailhound.llm import packing, quality, simhash
+from trailhound.llm import attribution, bottomk, chat, licenses, packing, pii, piece, quality, simhash, toxicity
 from trailhound.llm.common import read_table
 
 
@@ -18,13 +18,52 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    where = F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"]))
+    return found.withColumn("spans", F.array_join(where, ","))
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-1, 0, "user", told), (-1, 1, "assistant", told)], "conv_id long, turn long, role string, text string")
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return chat.read_back(chat.format_conversations(rows))
+
+
+def op5_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottomk.fingerprint_pairs(read_table(spark, sf_dir, "documents"))
+
+
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.personal_data(read_table(spark, sf_dir, "documents")))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan_licenses(read_table(spark, sf_dir, "documents")))
+
+
+def op8_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.attribute_tokens(read_table(spark, sf_dir, "documents"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece.round_trip(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_tokens", "ids_crc32", "parity",
+        F.length("decoded").cast("long").alias("decoded_chars"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (
+        op1_quality_rules, op2_packing, op3_toxicity, op4_chat_formatting, op5_bottom_k, op6_personal_data,
+        op7_license_scan, op8_token_attribution, op9_sentencepiece, op10_simhash_near_dedup,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_chat_formatting": chat.ORACLE_SQL, "op7_license_scan": licenses.oracle_sql()}

@@ -12,8 +12,11 @@ from itertools import filterfalse
 
 import numpy as np
 
-#: Chunks a worker keeps; beyond that it starts anew.
-MEMO_CHUNKS = 400_000
+#: Chunks of a generation. A worker keeps two: what it does not meet again for so many new
+#: chunks is forgotten.
+MEMO_CHUNKS = 250_000
+#: Chunks encoded as one text.
+TOGETHER = 500
 _made: dict = {}
 
 
@@ -39,6 +42,8 @@ class MemoEncoder:
     def __init__(self, path: str):
         self.tokenizer = load_tokenizer(path)
         self.memo: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
+        self.heads: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for piece, i in vocabulary.items():  # in the byte-level alphabet a character is a byte
@@ -55,8 +60,10 @@ class MemoEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def _apart(self, chunks: list[str]) -> list[bytes]:
-        """The ids of each chunk with its leading space, from one encoding of all of them."""
-        ids = self._plain(" " + " ".join(chunks))
+        """The ids of each chunk with its leading space, from encodings of many together."""
+        groups = [chunks[i:i + TOGETHER] for i in range(0, len(chunks), TOGETHER)]
+        found = self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, dtype="<u4") for e in found])
         ends = np.cumsum([len(c.encode()) + 1 for c in chunks])
         cuts = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
         raw, out, begin = ids.tobytes(), [], 0
@@ -65,12 +72,25 @@ class MemoEncoder:
             begin = end
         return out
 
+    def _head(self, chunk: str) -> bytes:
+        """The ids of a text's first chunk, which has no space before it."""
+        ids = self.heads.get(chunk)
+        if ids is None:
+            ids = self.heads[chunk] = self._plain(chunk).tobytes()
+        return ids
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        memo, get = self.memo, self.memo.get
-        if len(memo) > MEMO_CHUNKS:
-            memo.clear()
+        if len(self.memo) > MEMO_CHUNKS:
+            self.memo, self.older = {}, self.memo
+        if len(self.heads) > MEMO_CHUNKS // 10:
+            self.heads.clear()
+        memo, older = self.memo, self.older
+        get = memo.get
         cut = [(t or "").split(" ") for t in texts]
         new = {c for chunks in cut for c in filterfalse(memo.__contains__, chunks)}
+        again = new.intersection(older)
+        memo.update(zip(again, map(older.__getitem__, again)))
+        new -= again
         fit = [c for c in new if c and not c[-1].isspace()]
         memo.update(dict.fromkeys(new))  # None: this chunk does not end a word
         if fit:
@@ -82,6 +102,6 @@ class MemoEncoder:
             if None in parts:
                 out.append(self._plain(text or "").tobytes())
             else:
-                parts[0] = self._plain(chunks[0]).tobytes()
+                parts[0] = self._head(chunks[0])
                 out.append(b"".join(parts))
         return out
