@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
 read again as the next stage's documents. All but the last return the columns of documents.
-Rows that share a doc_id share its fate: if one is rejected, all are.
+Rows that share a doc_id share its fate: if one is rejected, all are. So do rows without one.
 """
 
 from __future__ import annotations

@@ -170,7 +170,7 @@ def plain_spans(text):
             digits = re.sub("[^0-9]", "", m.group())
             doubled = [int(c) * (1 + i % 2) for i, c in enumerate(digits[::-1])]
             fits = {
-                "email": True, "ip": all(int(p) <= 255 for p in m.group().split(".")),
+                "email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m.group().split(".")),
                 "card": 14 <= len(digits) <= 19 and sum(d - 9 * (d > 9) for d in doubled) % 10 == 0,
                 "phone": 10 <= len(digits) <= 15,
             }

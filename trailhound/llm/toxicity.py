@@ -20,6 +20,7 @@ document count once (toxic if any is); null labels are none. Repeated rows stay.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
 import zlib
@@ -351,30 +352,40 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, chars:
         group = group.iloc[order]
         return pd.DataFrame({"model": [Model.fit(group["text"].tolist(), group["toxic"].to_numpy() > 0).to_bytes()]})
 
-    made = found.groupBy(F.lit(1)).applyInPandas(fit, "model binary").first()
+    made = found.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(fit, "model binary").first()
     return Model.from_bytes(bytes(made["model"])) if made else Model({"rate": np.array(0.0)})
 
 
-def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, spans (start, end, p) of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model.to_bytes())  # at most BUCKETS weights
+class _Scorer:
+    """A task's scoring; a worker keeps the last model and the words it has met."""
+
+    last: tuple[str, Model] | None = None
+
+    def __init__(self, sent, name: str):
+        self.sent, self.name = sent, name
+
+    def start(self):
+        if _Scorer.last is None or _Scorer.last[0] != self.name:
+            _Scorer.last = (self.name, Model.from_bytes(self.sent.value))
+        model = _Scorer.last[1]
+
+        def work(rows: dict) -> dict:
+            score, spans = model.score(rows["text"])
+            return {"doc_id": rows["doc_id"], "score": score, "spans": spans}
 
-    def work(rows: dict) -> dict:
-        global _model
-        if _model is None or _model[0] != sent.id:
-            _model = (sent.id, Model.from_bytes(sent.value))
-        score, spans = _model[1].score(rows["text"])
-        return {"doc_id": rows["doc_id"], "score": score, "spans": spans}
+        return work
 
+
+def score_documents(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, score, spans (start, end, p) of every row."""
+    data = model.to_bytes()  # at most BUCKETS weights
+    scorer = _Scorer(docs.sparkSession.sparkContext.broadcast(data), hashlib.sha256(data).hexdigest())
     return map_batches(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), work,
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), scorer,
         "doc_id long, score double, spans array<struct<start:long,end:long,p:double>>",
     )
 
 
-_model = None
-
-
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, spans."""
     return score_documents(docs, train(docs, labels)).select(
