@@ -307,17 +307,16 @@ block("msrc", """SELECT comp, string_agg(source_type, ', ' ORDER BY n DESC, met)
   string_agg(source_type, ',' ORDER BY n DESC, met) AS plain, count(*) AS ns FROM (
   SELECT comp, source_type, count(*) AS n, min((pos, us, event_id)) AS met FROM kdet GROUP BY comp, source_type) GROUP BY comp""")
 block("tlabels", "SELECT comp, string_agg(replace(tactic,'-',' '), ', ' ORDER BY replace(tactic,'-',' ')) AS labels FROM tac GROUP BY comp")
-block("heads", """SELECT *, severity || ' incident on ' || primary_entity || ': ' || finding_count ||
-  CASE WHEN finding_count = 1 THEN ' detection across ' ELSE ' detections across ' END || tactic_count ||
-  CASE WHEN tactic_count = 1 THEN ' ATT&CK tactic' ELSE ' ATT&CK tactics' END AS headline,
+block("heads", """SELECT *, primary_entity || ' [' || severity || ']: ' || finding_count ||
+  CASE WHEN finding_count = 1 THEN ' finding, ' ELSE ' findings, ' END || tactic_count ||
+  CASE WHEN tactic_count = 1 THEN ' tactic' ELSE ' tactics' END AS headline,
   (last_us - first_us) // 1000000 AS s FROM incs""")
-block("summ", f"""SELECT h.comp, h.incident_id, h.headline, h.headline || '. Activity ran from ' ||
-  strftime(make_timestamp(first_us), '%Y-%m-%d %H:%M:%S') || ' to ' || {CLOCK.format('last_us')} || ' UTC, a span of ' ||
-  {DURATION} || '. ' || CASE WHEN m.ns > 1 THEN 'Evidence spans ' || m.ns || ' log sources (' || m.names ||
-  '), which is why these detections were correlated into one incident rather than treated separately.'
-  ELSE 'All evidence came from ' || m.names || '.' END ||
-  CASE WHEN l.labels IS NULL THEN '' ELSE ' Tactics observed: ' || l.labels || '.' END ||
-  ' Entities involved: ' || replace(h.entity_keys, ',', ', ') || '.' || chr(10) || chr(10) || 'Timeline:' || chr(10) || t.lines AS summary
+block("summ", f"""SELECT h.comp, h.incident_id, h.headline, h.headline || '. First seen ' ||
+  strftime(make_timestamp(first_us), '%Y-%m-%d %H:%M:%S') || ', last at ' || {CLOCK.format('last_us')} || ' (UTC; ' ||
+  {DURATION} || '). ' || CASE WHEN m.ns > 1 THEN 'Records of ' || m.ns || ' sources bear it out: ' || m.names || '.'
+  ELSE 'One source bears it out: ' || m.names || '.' END ||
+  CASE WHEN l.labels IS NULL THEN '' ELSE ' It shows ' || l.labels || '.' END ||
+  ' It touches ' || replace(h.entity_keys, ',', ', ') || '.' || chr(10) || chr(10) || 'In order of time:' || chr(10) || t.lines AS summary
   FROM heads h JOIN msrc m ON m.comp = h.comp JOIN tlines t ON t.comp = h.comp LEFT JOIN tlabels l ON l.comp = h.comp""")
 block("itech", """SELECT DISTINCT k.comp, i.incident_id, t.technique_id, t.name, t.tactics FROM kep k
   JOIN ids i ON i.comp = k.comp JOIN tech t ON t.technique_id = k.technique""")
@@ -348,12 +347,12 @@ block("choice", """SELECT s.comp, string_agg('  ' || s.technique_id || ' — ' |
   FROM slist s JOIN tech t ON t.technique_id = s.technique_id GROUP BY s.comp""")
 block("mapped", "SELECT comp, string_agg(DISTINCT technique, ', ' ORDER BY technique) AS mapped FROM kep GROUP BY comp")
 STAMP = "strftime(make_timestamp({0}), '%Y-%m-%d %H:%M:%S.%f')"
-block("prompt_text", f"""SELECT i.incident_id, concat_ws(chr(10), 'Incident ' || i.incident_id, 'Primary entity: ' || i.primary_entity,
-  'Entities: ' || replace(i.entity_keys, ',', ', '), 'Rules that fired: ' || replace(i.rule_ids, ',', ', '),
-  'Techniques mapped by rules: ' || m.mapped,
-  'Window: ' || {STAMP.format('i.first_us')} || ' to ' || {STAMP.format('i.last_us')},
-  chr(10) || 'Candidate techniques, choose from these only:', c.choices, '  NONE — no listed technique fits the evidence',
-  chr(10) || e.evidence, chr(10) || 'Explain what an analyst should understand about this incident.') AS prompt
+block("prompt_text", f"""SELECT i.incident_id, concat_ws(chr(10), 'Case ' || i.incident_id, 'Centre: ' || i.primary_entity,
+  'Touched: ' || replace(i.entity_keys, ',', ', '), 'Findings by rule: ' || replace(i.rule_ids, ',', ', '),
+  'Known technique ids: ' || m.mapped,
+  'Time: ' || {STAMP.format('i.first_us')} || ' to ' || {STAMP.format('i.last_us')},
+  chr(10) || 'A proposal may use these ids and no others:', c.choices, '  NONE (if the lines below show none of them)',
+  chr(10) || e.evidence, chr(10) || 'Tell the person on duty what happened here, and what is still unclear.') AS prompt
   FROM incs i JOIN mapped m ON m.comp = i.comp LEFT JOIN choice c ON c.comp = i.comp JOIN epack e ON e.comp = i.comp""")
 
 GOOD = '"summary":"Burst of failures on one host."'
@@ -633,13 +632,18 @@ QUERIES: dict[str, str] = {
           {'text': strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+02:00', 'us': epoch_us(o_orderdate) // 1000000 * 1000000 - 7200000000},
           {'text': strftime(o_orderdate, '%Y-%m-%d'), 'us': epoch_us(date_trunc('day', o_orderdate))},
           {'text': strftime(o_orderdate, '%Y'), 'us': NULL}, {'text': strftime(o_orderdate, '%Y-%m'), 'us': NULL},
-          {'text': strftime(o_orderdate, '%Y') || '-13-01T00:00:00Z', 'us': NULL}]) AS f)""",
+          {'text': strftime(o_orderdate, '%Y') || '-13-01T00:00:00Z', 'us': NULL},
+          {'text': strftime(o_orderdate, '%Y%m%dT%H%M%SZ'), 'us': epoch_us(o_orderdate) // 1000000 * 1000000},
+          {'text': strftime(o_orderdate, '%Y-%m-%dT%H'), 'us': epoch_us(date_trunc('hour', o_orderdate))},
+          {'text': strftime(o_orderdate, '%Y-%m-%dt%H%MZ'), 'us': epoch_us(date_trunc('minute', o_orderdate))},
+          {'text': strftime(o_orderdate, '%Y%m%d %H:%M') || '-0330', 'us': epoch_us(date_trunc('minute', o_orderdate)) + 12600000000},
+          {'text': strftime(o_orderdate, '%G-W%V-%u'), 'us': epoch_us(date_trunc('day', o_orderdate))},
+          {'text': strftime(o_orderdate, '%Y') || '-W60-1', 'us': NULL}]) AS f)""",
     "format_scores": "SELECT file, source_type, round(confidence, 3) AS confidence, line_delimited FROM formats",
-    "rejected_files": """SELECT file, 'unrecognised log format' AS error, round(confidence, 3) AS best_confidence, 0.3::DOUBLE AS min_confidence
-        FROM formats WHERE source_type IS NULL""",
+    "rejected_files": """SELECT file, 'unrecognised log format' AS error, round(confidence, 3) AS best_confidence, 0.3::DOUBLE AS min_confidence,
+        'syslog_sshd, aws_cloudtrail' AS supported FROM formats WHERE source_type IS NULL""",
     "parse_statistics": "SELECT file, lines_read, events_emitted, lines_skipped, errors FROM pstats",
-    "parse_error_rows": """SELECT file, line_no, error AS reason, substr(excerpt, 1, 12) AS excerpt_start FROM pst WHERE error IS NOT NULL
-        QUALIFY row_number() OVER (PARTITION BY file ORDER BY line_no) <= 100""",
+    "parse_error_rows": "SELECT file, line_no, error AS reason, excerpt FROM pst WHERE error IS NOT NULL",
     "parsed_fingerprints": "SELECT min(event_id) AS event_id, dedup_hash FROM hhash GROUP BY dedup_hash",
     "ingest_runs": """SELECT l.load, p.file, f.source_type, round(f.confidence, 3) AS detected_confidence, p.lines_read, p.events_emitted, p.lines_skipped,
         CASE WHEN l.load = 1 THEN coalesce(h.kept, 0) ELSE 0 END AS events_persisted,

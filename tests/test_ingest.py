@@ -288,5 +288,7 @@ def test_error_limit_and_excerpt(spark):
         F.lit("f").alias("file"), F.col("id").alias("line_no"), F.lit("why").alias("error"),
         F.repeat(F.lit("x"), F.lit(500)).alias("excerpt"),
     )
-    kept = parse_errors(rows).collect()
+    every = parse_errors(rows).collect()
+    assert len(every) == 250 and {len(r.excerpt) for r in every} == {500}
+    kept = parse_errors(rows, limit=100, excerpt_chars=200).collect()
     assert sorted(r.line_no for r in kept) == list(range(1, 101)) and {len(r.excerpt) for r in kept} == {200}

@@ -14,8 +14,17 @@ def once(value: Column) -> Column:
     return F.explode_outer(F.array(value))
 
 
+# Up to the next not-a-number or infinity that stands outside a string.
+_UP_TO_ODD = r'\G((?:[^"NI-]|"(?:[^"\\]|\\.)*+"|-(?!Infinity))*+)(?:-?Infinity|NaN)'
+
+
+def _plain_numbers(text: Column) -> Column:
+    """Numbers that only Python's parser knows, as an ordinary number that is not zero."""
+    return F.when(text.rlike("NaN|Infinity"), F.regexp_replace(text, _UP_TO_ODD, "$10.5")).otherwise(text)
+
+
 def _wrapped(text: Column) -> Column:
-    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
+    return F.try_parse_json(F.concat(F.lit("["), _plain_numbers(text), F.lit(f',"{_END}"]')))
 
 
 def _unwrapped(pair: Column) -> Column:

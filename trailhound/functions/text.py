@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+# Every character that Unicode calls white space, and the four separators Python adds.
+_BLANK = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
 def strip(c: Column) -> Column:
     """Trim all whitespace, not only spaces."""
-    return F.regexp_replace(c, r"^[\s\x1c-\x1f\x85\xa0]+|[\s\x1c-\x1f\x85\xa0]+\z", "")
+    return F.regexp_replace(c, rf"^{_BLANK}|{_BLANK}\z", "")
 
 
 # Characters whose case-folded form is not their lower-case form, by rule.

@@ -118,7 +118,7 @@ def unusable_mappings(spark: SparkSession, catalog: DataFrame, rules) -> DataFra
 
 
 def validate_mappings(spark: SparkSession, catalog: DataFrame, rules) -> None:
-    dead = unusable_mappings(spark, catalog, rules).limit(20).collect()
+    dead = unusable_mappings(spark, catalog, rules).collect()
     if dead:
         raise ValueError("techniques that do not resolve: " + ", ".join(
             f"{r.technique_id} ({r.origin} {r.owner})" for r in dead))

@@ -137,35 +137,55 @@ def absorbed(members: DataFrame, detail: DataFrame) -> DataFrame:
     """finding_id of every finding whose evidence lies inside a wider one of its rule.
 
     Containment is transitive, so testing against all findings equals testing against
-    the kept ones. A finding with one evidence hash is absorbed when an earlier finding
-    has that hash, which a minimum per hash decides; only larger ones are paired, on
-    shared hashes, and kept apart by counting.
+    the kept ones. Findings over equal evidence are told by a signature of the set, and the
+    first of them stands for all, so copies are never paired. What stands is inside another
+    only if that one has its rarest hash, too: only those are compared, by counting.
     """
-    ordered = members.select(
-        "finding_id", "incident_key", "rule_id", width_order().alias("ord")
-    )
+    ordered = members.select("finding_id", "incident_key", "rule_id", width_order().alias("ord"))
     hashes = detail.select("finding_id", "evidence_hash").distinct()
-    sizes = hashes.groupBy("finding_id").agg(F.count(F.lit(1)).alias("size"))
-    rows = materialize(ordered.join(sizes, "finding_id").join(hashes, "finding_id"))
-    group = ["incident_key", "rule_id", "evidence_hash"]
+    # Sums of two parts of the hashes name a set whatever the order of its rows.
+    part = lambda at: F.sum(F.conv(F.substring("evidence_hash", at, 15), 16, 10).cast("decimal(20,0)"))
+    sets = hashes.groupBy("finding_id").agg(
+        F.count(F.lit(1)).alias("size"), part(1).alias("sign_1"), part(16).alias("sign_2"))
+    sized = materialize(ordered.join(sets, "finding_id"))
+    sign = ["incident_key", "rule_id", "size", "sign_1", "sign_2"]
+    firsts = sized.groupBy(*sign).agg(F.min_by("finding_id", "ord").alias("first"), F.min("ord").alias("ord"))
+    firsts = materialize(firsts)
+    copies = sized.join(firsts.select(*sign, "first"), sign).filter(F.col("finding_id") != F.col("first"))
 
-    first = rows.groupBy(*group).agg(F.min("ord").alias("first_ord"))
-    single = (
-        rows.filter("size = 1").join(first, group).filter(F.col("first_ord") < F.col("ord"))
+    group = ["incident_key", "rule_id", "evidence_hash"]
+    rows = materialize(
+        firsts.withColumnRenamed("first", "finding_id").join(hashes, "finding_id")
+        .select("finding_id", *group, "ord", "size")
     )
-    larger = rows.filter("size > 1")
-    wide = larger.select(
-        *group, F.col("finding_id").alias("wider"), F.col("ord").alias("wider_ord"),
-        F.col("size").alias("wider_size"),
+    spread = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("holders"), F.min("ord").alias("first_ord"))
+    placed = rows.join(spread, group)
+    single = placed.filter((F.col("size") == 1) & (F.col("first_ord") < F.col("ord")))
+    rarest = (
+        placed.filter("size > 1").groupBy("finding_id", "incident_key", "rule_id", "ord", "size")
+        .agg(F.min(F.struct("holders", "evidence_hash")).alias("r"))
+        .filter("r.holders > 1")
+        .select("finding_id", "incident_key", "rule_id", F.col("r.evidence_hash").alias("evidence_hash"), "ord", "size")
     )
+    wide = rows.filter("size > 1").select(
+        *group, F.col("finding_id").alias("wider"), F.col("ord").alias("wider_ord"), F.col("size").alias("wider_size")
+    )
+    pairs = rarest.join(wide, group).filter(
+        (F.col("wider_ord") < F.col("ord")) & (F.col("wider_size") > F.col("size"))
+    ).select("finding_id", "wider", "size")
+    own = rows.select("finding_id", "evidence_hash")
     inside = (
-        larger.join(wide, group)
-        .filter((F.col("wider_ord") < F.col("ord")) & (F.col("wider_size") >= F.col("size")))
-        .groupBy("finding_id", "wider")
-        .agg(F.count(F.lit(1)).alias("shared"), F.first("size").alias("size"))
+        pairs.join(own, "finding_id")
+        .join(own.withColumnRenamed("finding_id", "wider"), ["wider", "evidence_hash"])
+        .groupBy("finding_id", "wider", "size")
+        .agg(F.count(F.lit(1)).alias("shared"))
         .filter("shared = size")
     )
-    return single.select("finding_id").unionByName(inside.select("finding_id")).distinct()
+    # A copy goes with the finding that stands for it, or because of it.
+    return (
+        copies.select("finding_id").unionByName(single.select("finding_id")).unionByName(inside.select("finding_id"))
+        .distinct()
+    )
 
 
 def digest_stream(chars: int):
@@ -177,13 +197,17 @@ def digest_stream(chars: int):
 
     import pyarrow as pa
 
-    def named(key, digest):
-        return pa.RecordBatch.from_pydict(
-            {"incident_key": [key], "incident_id": [f"INC-{digest.hexdigest()[:chars]}"]}
-        )
-
     def stream(batches):
-        current, digest = None, None
+        current, digest, done = None, None, []
+
+        def flush():
+            batch = pa.RecordBatch.from_pydict({
+                "incident_key": pa.array([k for k, _ in done], pa.string()),
+                "incident_id": pa.array([f"INC-{d.hexdigest()[:chars]}" for _, d in done], pa.string()),
+            })
+            done.clear()
+            return batch
+
         for batch in batches:
             keys = batch.column(0).to_pylist()
             hashes = batch.column(1).to_pylist()
@@ -197,11 +221,13 @@ def digest_stream(chars: int):
                     digest.update(f"|{text}".encode())
                 else:
                     if digest is not None:
-                        yield named(current, digest)
+                        done.append((current, digest))
                     current, digest = keys[start], hashlib.sha256(text.encode())
                 start = end
+            yield flush()
         if digest is not None:
-            yield named(current, digest)
+            done.append((current, digest))
+        yield flush()
 
     return stream
 

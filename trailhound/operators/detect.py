@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from trailhound.operators.library import DEFAULT_RULES
 from trailhound.operators.rules import (
-    DistinctThresholdRule, Rule, SequenceRule, ThresholdRule, evaluate, window_text,
+    DistinctThresholdRule, Rule, SequenceRule, SingleEventRule, ThresholdRule, evaluate, window_text,
 )
 from trailhound.schema import METADATA
 from trailhound.session import materialize
@@ -35,12 +35,19 @@ class Detection:
 def run_rule(rule: Rule, events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(findings, evidence) of one rule."""
     fired, evidence = evaluate(rule, events)
-    spans = evidence.groupBy("finding_id").agg(
-        F.timestamp_micros(F.min("us")).alias("first_seen"),
-        F.timestamp_micros(F.max("us")).alias("last_seen"),
-        F.count(F.lit(1)).alias("evidence_count"),
-    )
-    findings = fired.join(spans, "finding_id")
+    single = isinstance(rule, SingleEventRule)
+    if single:  # one row each: nothing to gather
+        seen = F.timestamp_micros("anchor_us")
+        findings = fired.select(
+            "*", seen.alias("first_seen"), seen.alias("last_seen"), F.lit(1).cast("long").alias("evidence_count")
+        )
+    else:
+        spans = evidence.groupBy("finding_id").agg(
+            F.timestamp_micros(F.min("us")).alias("first_seen"),
+            F.timestamp_micros(F.max("us")).alias("last_seen"),
+            F.count(F.lit(1)).alias("evidence_count"),
+        )
+        findings = fired.join(spans, "finding_id")
     fields: dict[str, object] = {}
     if isinstance(rule, SequenceRule):
         fields["leading_count"] = F.col("evidence_count") - 1
@@ -52,14 +59,14 @@ def run_rule(rule: Rule, events: DataFrame) -> tuple[DataFrame, DataFrame]:
         findings = findings.join(distinct_values(rule, events, evidence), "finding_id", "left")
         fields["distinct_count"] = F.size("values").cast("long")
         fields["distinct_values"] = F.col("values")
-    if rule.extra_metadata:
+    if rule.extra_metadata and not single:
         anchors = events.filter(rule.scope()).select(
             F.col("event_id").alias("anchor_event"),
             *[c().alias(f"m_{name}") for name, c in rule.extra_metadata.items()],
         )
         findings = findings.join(anchors, "anchor_event", "left")
-        for name in rule.extra_metadata:
-            fields[name] = F.col(f"m_{name}")
+    for name in rule.extra_metadata:
+        fields[name] = F.col(f"m_{name}")
     metadata = F.struct(
         *[
             (fields[f.name] if f.name in fields else F.lit(None)).cast(f.dataType).alias(f.name)

@@ -27,6 +27,8 @@ MINUTE = 60 * SECOND
 HOUR = 60 * MINUTE
 
 EXPLODE_BLOCK = 1 << 16
+# Lead numbers, and so candidates at most, of a slice in which a sequence rule is resolved.
+SLICE_LEADS = 512
 
 
 @dataclass(frozen=True, kw_only=True)
@@ -102,12 +104,14 @@ def matching_rows(rule: Rule, events: DataFrame, condition: Column, **columns: C
 
 
 def evaluate_single(rule: SingleEventRule, events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    hits = matching_rows(rule, events, rule.matches()).withColumn(
+    """Every matching row is a finding of one row; metadata comes from that row, too."""
+    extra = {f"m_{name}": c() for name, c in rule.extra_metadata.items()}
+    hits = matching_rows(rule, events, rule.matches(), **extra).withColumn(
         "finding_id", finding_id(rule.rule_id, F.col("entity_key"), F.col("event_id"))
     )
     fired = hits.select(
         "finding_id", "entity_key", F.col("us").alias("anchor_us"),
-        F.col("event_id").alias("anchor_event"),
+        F.col("event_id").alias("anchor_event"), *extra,
     )
     return fired, hits.select("finding_id", "event_id", "us")
 
@@ -245,7 +249,9 @@ def evaluate_sequence(rule: SequenceRule, events: DataFrame) -> tuple[DataFrame,
         .groupBy("entity_key", "n")
         .agg(F.min(F.struct("us", "event_id", "lead", "inside")).alias("c"))
         .select("entity_key", "n", "c.*")
-        .withColumn("slice", slices.slice_of(F.col("us"), rule.slice_us))
+        # An entity's candidates differ in n and n grows with time, so a slice of lead numbers
+        # is a stretch of time that holds a bounded number of candidates, however dense.
+        .withColumn("slice", F.floor(F.col("n") / SLICE_LEADS))
     )
     fires = materialize(_greedy_fires(candidates, need))
     fires = materialize(

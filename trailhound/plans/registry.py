@@ -634,6 +634,11 @@ def iso_times(spark, sf):
         F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'+02:00'"),
         F.date_format(when, "yyyy-MM-dd"), F.date_format(when, "yyyy"), F.date_format(when, "yyyy-MM"),
         F.concat(F.date_format(when, "yyyy"), F.lit("-13-01T00:00:00Z")),
+        F.date_format(when, "yyyyMMdd'T'HHmmss'Z'"), F.date_format(when, "yyyy-MM-dd'T'HH"),
+        F.date_format(when, "yyyy-MM-dd't'HHmm'Z'"), F.date_format(when, "yyyyMMdd HH:mm'-0330'"),
+        F.concat(F.year(F.date_add(F.date_trunc("week", when).cast("date"), 3)), F.lit("-W"),
+                 F.lpad(F.weekofyear(when), 2, "0"), F.lit("-"), F.weekday(when) + 1),
+        F.concat(F.date_format(when, "yyyy"), F.lit("-W60-1")),
     )
     rows = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", F.explode(forms).alias("text"))
     return rows.select("o_orderkey", "text", us(cloudaudit.iso_time(F.col("text"))).alias("us"))
@@ -675,10 +680,8 @@ def parse_statistics(spark, sf):
 
 @query
 def parse_error_rows(spark, sf):
-    """The first hundred errors of every file."""
-    return ingest.parse_errors(_parsed(spark, sf)).select(
-        "file", "line_no", "reason", F.substring("excerpt", 1, 12).alias("excerpt_start")
-    )
+    """Every record that could not be read, with its whole text."""
+    return ingest.parse_errors(_parsed(spark, sf))
 
 
 @query

@@ -63,11 +63,42 @@ def score() -> Column:
     return F.when(first.isin("{", "["), F.least(F.lit(0.95), 0.25 * hits)).otherwise(0.0)
 
 
+# The rarer ISO forms: basic and week dates, any separator, basic times, hours alone.
+OTHER_ISO_TIME = (
+    r"^(\d{4}-\d{2}-\d{2}|\d{8}|\d{4}-W\d{2}(?:-\d)?|\d{4}W\d{2}\d?)"
+    r"(?:(?s:.)(\d{2}(?::\d{2}(?::\d{2}(?:[.,]\d+)?)?)?|\d{2}(?:\d{2}(?:\d{2}(?:[.,]\d+)?)?)?)"
+    r"(Z|[+-]\d{2}(?::?\d{2}(?::?\d{2})?)?)?)?\z"
+)
+
+
+def _other_iso_time(value: Column) -> Column:
+    part = lambda i: F.regexp_extract(value, OTHER_ISO_TIME, i)
+    digits = F.regexp_replace(part(1), "[-W]", "")
+    year = digits.substr(1, 4).cast("int")
+    week, day = digits.substr(5, 2).cast("int"), F.coalesce(F.try_to_number(digits.substr(7, 1), F.lit("9")).cast("int"), F.lit(1))
+    # The first week is the one with January 4th.
+    monday = F.to_date(F.date_trunc("week", F.make_date(year, F.lit(1), F.lit(4))))
+    of_week = F.date_add(monday, (week - 1) * 7 + day - 1)
+    in_week = day.between(1, 7) & (week >= 1) & (F.weekofyear(of_week) == week)
+    plain = F.concat_ws("-", digits.substr(1, 4), digits.substr(5, 2), digits.substr(7, 2))
+    date = F.when(value.substr(1, 6).contains("W"), F.when(in_week, F.date_format(of_week, "yyyy-MM-dd"))).otherwise(plain)
+    time = F.regexp_replace(F.regexp_replace(part(2), ":", ""), ",", ".")
+    two = lambda at: F.when(F.length(time) > at, time.substr(at, 2)).otherwise("00")
+    fraction = F.rpad(F.regexp_extract(time, r"[.](\d{1,6})", 1), 6, "0")
+    zone = F.regexp_replace(F.regexp_replace(part(3), "Z", "+0000"), ":", "")
+    offset = F.concat_ws(":", zone.substr(1, 3), F.when(F.length(zone) > 4, zone.substr(4, 2)).otherwise("00"),
+                         F.when(F.length(zone) > 6, zone.substr(6, 2)))
+    clock = F.concat(two(1), F.lit(":"), two(3), F.lit(":"), two(5), F.lit("."), fraction)
+    return F.when(
+        part(1) != "", F.try_to_timestamp(F.concat(date, F.lit(" "), clock, F.when(zone == "", "+00:00").otherwise(offset)))
+    )
+
+
 def iso_time(value: Column) -> Column:
-    """Full ISO date or time; anything else is NULL."""
+    """An ISO date or time of any form that Python reads; anything else is NULL."""
     return F.when(
         value.rlike(ISO_TIME), F.try_to_timestamp(F.replace(value, F.lit(","), F.lit(".")))
-    )
+    ).when(value.rlike(OTHER_ISO_TIME), _other_iso_time(value))
 
 
 def clean_ip(value: Column) -> Column:
@@ -97,7 +128,7 @@ def document_records(documents: DataFrame) -> DataFrame:
         F.when(
             kind.startswith("OBJECT") & bundled.isNotNull(),
             F.coalesce(
-                F.try_variant_get("root", "$.Records", "array<variant>"), F.array(bundled)
+                F.try_variant_get("root", "$.Records", "array<variant>"), _no_records(bundled), F.array(bundled)
             ),
         ),
         F.array("root"),
@@ -116,6 +147,15 @@ def document_records(documents: DataFrame) -> DataFrame:
     return records.unionByName(fallback)
 
 
+def _no_records(bundled: Column) -> Column:
+    """What stands in place of records is walked like a list and holds none: the keys of an
+    object, the characters of a text."""
+    keys = F.map_keys(F.try_variant_get(bundled, "$", "map<string,variant>"))
+    text = F.when(F.schema_of_variant(bundled) == "STRING", F.try_variant_get(bundled, "$", "string"))
+    characters = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    return F.transform(F.coalesce(keys, characters), lambda k: k.cast("variant"))
+
+
 def line_records(lines: DataFrame) -> DataFrame:
     """One row per non-blank line that is an object or no JSON; other JSON values are dropped."""
     value = strip(F.col("value"))

@@ -76,10 +76,27 @@ def detect_formats(
     )
 
 
-def rejected_files(detected: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Files no format fits, with the best score and the floor; nothing of them is loaded."""
+def without_lines(files: DataFrame, detected: DataFrame) -> DataFrame:
+    """The files that detection saw no line of, as if detected with score 0."""
+    # The index and the scan may write the slashes behind a scheme differently.
+    plain = lambda c: F.regexp_replace(c, "^([A-Za-z0-9]+):/+", "$1:/")
+    seen = detected.select(plain("file").alias("seen"))
+    return files.join(seen, plain("file") == F.col("seen"), "left_anti").select(
+        "file", F.lit(None).cast("string").alias("source_type"), F.lit(0.0).alias("confidence"),
+        F.lit(False).alias("line_delimited"),
+    )
+
+
+def rejected_files(
+    detected: DataFrame,
+    min_confidence: float = MIN_CONFIDENCE,
+    formats: Sequence[LogFormat] = DEFAULT_FORMATS,
+) -> DataFrame:
+    """Files no format fits, with the best score, the floor and the formats there are;
+    nothing of them is loaded."""
     return detected.filter(F.col("source_type").isNull()).select(
         "file", F.lit("unrecognised log format").alias("error"),
         F.round("confidence", 3).alias("best_confidence"),
         F.lit(min_confidence).alias("min_confidence"),
+        F.lit(", ".join(f.source_type for f in formats)).alias("supported"),
     )

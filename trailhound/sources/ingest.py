@@ -14,14 +14,11 @@ from trailhound.operators.slices import running_totals
 from trailhound.schema import EVENT, conform
 from trailhound.session import materialize, pin_settings
 from trailhound.sources.formats import (
-    DEFAULT_FORMATS, MIN_CONFIDENCE, LogFormat, detect_formats, rejected_files,
+    DEFAULT_FORMATS, MIN_CONFIDENCE, LogFormat, detect_formats, rejected_files, without_lines,
 )
-from trailhound.sources.lines import read_documents, read_lines
+from trailhound.sources.lines import all_files, read_documents, read_lines
 from trailhound.sources.store import EventStore
 
-# Recorded errors per run and characters of an excerpt.
-MAX_ERRORS = 100
-EXCERPT_CHARS = 200
 SEQ_BITS = 36
 FILE_SLICES = 1024
 
@@ -48,19 +45,17 @@ def not_stored(events: DataFrame, stored: DataFrame, key: str = "dedup_hash") ->
     return events.join(stored.select(key), key, "left_anti")
 
 
-def parse_errors(parsed: DataFrame, limit: int = MAX_ERRORS) -> DataFrame:
-    """The first errors of each file, excerpts cut short."""
-    at = F.row_number().over(Window.partitionBy("file").orderBy("line_no"))
-    return (
-        parsed.filter(F.col("error").isNotNull())
-        .select(
-            "file", "line_no", F.col("error").alias("reason"),
-            F.substring("excerpt", 1, EXCERPT_CHARS).alias("excerpt"),
-        )
-        .withColumn("_at", at)
-        .filter(F.col("_at") <= limit)
-        .drop("_at")
+def parse_errors(parsed: DataFrame, limit: int | None = None, excerpt_chars: int | None = None) -> DataFrame:
+    """Every record that could not be read. A report may ask for the first few of each file
+    and short excerpts; the stored table has all of them."""
+    excerpt = F.col("excerpt") if excerpt_chars is None else F.substring("excerpt", 1, excerpt_chars)
+    rows = parsed.filter(F.col("error").isNotNull()).select(
+        "file", "line_no", F.col("error").alias("reason"), excerpt.alias("excerpt")
     )
+    if limit is None:
+        return rows
+    at = F.row_number().over(Window.partitionBy("file").orderBy("line_no"))
+    return rows.withColumn("_at", at).filter(F.col("_at") <= limit).drop("_at")
 
 
 def parse_stats(parsed: DataFrame) -> DataFrame:
@@ -125,7 +120,8 @@ def ingest(
     """Load log files into the store. Loading the same files again stores nothing new."""
     pin_settings(spark)
     lines = read_lines(spark, path)
-    detected = materialize(detect_formats(lines, formats, min_confidence))
+    found = materialize(detect_formats(lines, formats, min_confidence))
+    detected = found.unionByName(without_lines(all_files(spark, path), found))
     parsed = materialize(
         parse_files(spark, path, detected, lines, formats, default_year=default_year, zone=zone)
     )
@@ -159,7 +155,9 @@ def ingest(
             (F.coalesce("events_emitted", F.lit(0)) - F.coalesce("persisted", F.lit(0))).alias("duplicates_skipped"),
         )
     )
+    errors = parse_errors(parsed)
+    store.append_errors(files.select("file", "ingest_id").join(errors, "file"))
     store.append_events(fresh)
     ingests = materialize(ingests)
     store.append_ingests(ingests)
-    return IngestResult(ingests, parse_errors(parsed), rejected_files(detected, min_confidence), fresh)
+    return IngestResult(ingests, errors, rejected_files(detected, min_confidence, formats), fresh)

@@ -14,7 +14,7 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     Files stay splittable: a line's number is its place in its block plus the lines of
     the blocks before it, so no file is read by a single task. Files without a byte have
-    no row here, as in any Spark scan.
+    no row here, as in any Spark scan; `all_files` names them.
     """
     read = spark.read.text(path).select(
         F.make_valid_utf8("value").alias("value"),
@@ -53,6 +53,14 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return plain.unionByName(odd)
 
 
+def all_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file): every file of the input, also those without a byte, which no scan shows.
+
+    The names are those of the file index, which the driver holds for any scan.
+    """
+    return spark.createDataFrame([(f,) for f in spark.read.text(path).inputFiles()], "file string")
+
+
 def read_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, content): one row per file."""
     return spark.read.text(path, wholetext=True).select(

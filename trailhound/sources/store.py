@@ -31,6 +31,15 @@ INGEST = T.StructType(
         T.StructField("duplicates_skipped", T.LongType()),
     ]
 )
+PARSE_ERROR = T.StructType(
+    [
+        T.StructField("ingest_id", T.LongType()),
+        T.StructField("file", T.StringType()),
+        T.StructField("line_no", T.LongType()),
+        T.StructField("reason", T.StringType()),
+        T.StructField("excerpt", T.StringType()),
+    ]
+)
 
 
 @dataclass(frozen=True)
@@ -50,6 +59,21 @@ class EventStore:
         """Stored events. Order by time is left to the windows that need it."""
         return self._read("events", STORED_EVENT)
 
+    def events_between(self, since=None, until=None) -> DataFrame:
+        """Stored events from `since` (inclusive) up to `until` (exclusive), in order of time.
+
+        The bounds also hold on the partition column, so other days are not read."""
+        rows = self.events()
+        if since is not None:
+            rows = rows.filter((F.col("event_date") >= F.to_date(F.lit(since))) & (F.col("ts") >= F.lit(since)))
+        if until is not None:
+            rows = rows.filter((F.col("event_date") <= F.to_date(F.lit(until))) & (F.col("ts") < F.lit(until)))
+        return rows.orderBy("ts", "event_id")
+
+    def errors(self) -> DataFrame:
+        """Every record that could not be read, of all runs."""
+        return self._read("errors", PARSE_ERROR)
+
     def ingests(self) -> DataFrame:
         return self._read("ingests", INGEST)
 
@@ -60,9 +84,15 @@ class EventStore:
         (
             events.withColumn("event_date", F.to_date("ts"))
             .select(*STORED_EVENT.fieldNames())
+            .hint("rebalance", F.col("event_date"))
             .write.mode("append").partitionBy("event_date").parquet(f"{self.root}/events")
         )
 
+    def append_errors(self, errors: DataFrame) -> None:
+        errors.select(
+            *[F.col(f.name).cast(f.dataType) for f in PARSE_ERROR.fields]
+        ).write.mode("append").parquet(f"{self.root}/errors")
+
     def append_ingests(self, ingests: DataFrame) -> None:
         ingests.select(
             *[F.col(f.name).cast(f.dataType) for f in INGEST.fields]
