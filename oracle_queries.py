@@ -331,6 +331,7 @@ CANDIDATE_ROWS = """('authentication',0,'T1110'),('authentication',1,'T1110.001'
   ('authentication',3,'T1078'),('authentication',4,'T1087'),('iam',0,'T1098'),('iam',1,'T1098.001'),('iam',2,'T1136'),
   ('iam',3,'T1548'),('network',0,'T1046'),('network',1,'T1580'),('network',2,'T1686.001'),('storage',0,'T1530'),
   ('storage',1,'T1537'),('configuration',0,'T1685'),('configuration',1,'T1685.002'),('configuration',2,'T1070')"""
+block("gone_tech", "SELECT DISTINCT technique FROM finds WHERE rule_id IN ('cloud_logging_disabled', 'admin_policy_attached')")
 block("cand", f"SELECT * FROM (VALUES {CANDIDATE_ROWS}) t(category, rank, technique_id)")
 block("slist", """SELECT comp, technique_id, row_number() OVER (PARTITION BY comp ORDER BY rank, category) AS place FROM (
   SELECT DISTINCT k.comp, c.technique_id, c.rank, c.category FROM kdet k JOIN cand c ON c.category = k.category)
@@ -644,6 +645,14 @@ QUERIES: dict[str, str] = {
         'syslog_sshd, aws_cloudtrail' AS supported FROM formats WHERE source_type IS NULL""",
     "parse_statistics": "SELECT file, lines_read, events_emitted, lines_skipped, errors FROM pstats",
     "parse_error_rows": "SELECT file, line_no, error AS reason, excerpt FROM pst WHERE error IS NOT NULL",
+    "cloud_audit_extra": """SELECT file, line_no, j->>'$.awsRegion' AS aws_region, j->>'$.eventID' AS event_id, j->>'$.errorCode' AS error_code,
+        j->>'$.userIdentity.sessionContext.attributes.mfaAuthenticated' AS mfa_authenticated FROM crec WHERE error IS NULL""",
+    "stored_events_by_time": """SELECT event_id, us, action, '2024-01-01' AS day FROM ev
+        WHERE us >= 1704067800000000 AND us < 1704069600000000""",
+    "store_round_trip": """SELECT event_id, us, source_type, raw, outcome, actor_name, policy_arn, array_to_string(list_sort(keys), ',') AS entity_keys,
+        dedup_hash, evidence_hash, sha256(raw) AS raw_hash FROM ev""",
+    "broken_mapping_audit": """SELECT 'rule' AS origin, rule_id AS owner, technique AS technique_id FROM (SELECT DISTINCT rule_id, technique FROM finds) JOIN gone_tech USING (technique)
+        UNION ALL SELECT 'candidate', category, technique_id FROM cand JOIN gone_tech ON gone_tech.technique = technique_id""",
     "parsed_fingerprints": "SELECT min(event_id) AS event_id, dedup_hash FROM hhash GROUP BY dedup_hash",
     "ingest_runs": """SELECT l.load, p.file, f.source_type, round(f.confidence, 3) AS detected_confidence, p.lines_read, p.events_emitted, p.lines_skipped,
         CASE WHEN l.load = 1 THEN coalesce(h.kept, 0) ELSE 0 END AS events_persisted,

@@ -207,3 +207,17 @@ def test_many_copies_of_one_record_collapse_without_pairing(spark, make_events):
     fs = [{"entity_key": "host:web1", "evidence": [i]} for i in range(600)]
     found = run(spark, fs, make_events(copies + others))
     assert found.members.filter("kept").count() == 301
+
+
+def test_copies_of_several_hashes_are_not_paired(spark):
+    """20,000 findings over the same two hashes, and some over one of them: one survives."""
+    members = spark.range(20_000).select(
+        F.format_string("f%05d", "id").alias("finding_id"), F.lit("i").alias("incident_key"), F.lit("r").alias("rule_id"),
+        F.when(F.col("id") < 19_000, 2).otherwise(1).cast("long").alias("evidence_count"), F.lit("host:web1").alias("entity_key"),
+        F.lit(0).alias("rule_order"), F.col("id").alias("anchor_us"), F.col("id").alias("anchor_event"),
+    )
+    detail = members.select(
+        "finding_id", F.explode(F.slice(F.array(F.md5(F.lit("a")), F.md5(F.lit("b"))), F.lit(1), F.col("evidence_count").cast("int"))).alias("evidence_hash")
+    )
+    left = members.join(cor.absorbed(members, detail), "finding_id", "left_anti").collect()
+    assert [r.finding_id for r in left] == ["f00000"]

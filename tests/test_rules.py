@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import models
 from trailhound.functions.predicates import auth_failure, auth_success
-from trailhound.operators import library as lib
+from trailhound.operators import library as lib, rules
 from trailhound.operators.detect import detect, detection_stats, findings_per_entity, run_rule
 from trailhound.operators.rules import (
     MINUTE, SECOND, DistinctThresholdRule, SequenceRule, SingleEventRule, ThresholdRule, window_text,
@@ -205,3 +205,17 @@ def test_window_text():
 def test_user_rule_kinds_are_distinguished():
     assert isinstance(lib.INVALID_USERS, DistinctThresholdRule) and isinstance(lib.INVALID_USERS, ThresholdRule)
     assert auth_failure is lib.BRUTE_FORCE.matches
+
+
+def test_a_dense_minute_of_one_entity_is_no_special_case(spark):
+    """60,000 alternating events of one host in one minute: every second one fires."""
+    rows = spark.range(60_000).select(
+        F.col("id").alias("event_id"), F.lit("host:web1").alias("host"),
+        F.timestamp_micros(F.lit(1_785_645_660_000_000) + F.col("id") * 900).alias("ts"),
+        F.when(F.col("id") % 2 == 0, "authentication").otherwise("iam").alias("category"),
+        F.when(F.col("id") % 2 == 0, "login").otherwise("access_key_create").alias("action"),
+        F.when(F.col("id") % 2 == 0, "failure").otherwise("success").alias("outcome"),
+        F.array(F.lit("host:web1")).alias("entity_keys"),
+    )
+    fired, evidence = rules.evaluate_sequence(lib.ACCESS_KEY, rows)
+    assert fired.count() == 30_000 and evidence.count() == 60_000

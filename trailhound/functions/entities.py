@@ -53,9 +53,13 @@ def event_entities(events: DataFrame) -> DataFrame:
 def touching(events: DataFrame, key: str, since, until) -> DataFrame:
     """Everything touching one key in a time span.
 
-    The time filter reaches the scan; the key test is on the array column, so no
-    join back to an entity table is needed.
+    The time filter reaches the scan, and where events are stored by date its bounds choose
+    the folders to read; the key test is on the array column, so no join back to an entity
+    table is needed.
     """
+    if "event_date" in events.columns:
+        events = events.filter(F.col("event_date").between(
+            F.lit(since).cast("timestamp").cast("date"), F.lit(until).cast("timestamp").cast("date")))
     return events.filter(
         F.col("ts").between(F.lit(since).cast("timestamp"), F.lit(until).cast("timestamp"))
         & F.array_contains("entity_keys", key)

@@ -39,6 +39,7 @@ def evidence_hash() -> Column:
 
 
 def with_hashes(events: DataFrame) -> DataFrame:
+    """Both identities, and the hash of the raw text, which later stages need without it."""
     return events.withColumns(
-        {"dedup_hash": dedup_hash(), "evidence_hash": evidence_hash()}
+        {"dedup_hash": dedup_hash(), "evidence_hash": evidence_hash(), "raw_hash": F.sha2("raw", 256)}
     )

@@ -48,7 +48,7 @@ def evidence_detail(detection: Detection, events: DataFrame) -> DataFrame:
     return detection.evidence.join(
         events.select(
             "event_id", "entity_keys", "evidence_hash",
-            F.sha2("raw", 256).alias("raw_hash"), "source_type", "category",
+            "raw_hash", "source_type", "category",
         ),
         "event_id",
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -611,6 +612,14 @@ def parse_cloud_audit(spark, sf):
     ).filter("emitted").drop("error")
 
 
+@query
+def cloud_audit_extra(spark, sf):
+    """What a record keeps beside the event columns."""
+    rows = cloudaudit.parse_records(cloudaudit.line_records(cloud_lines(spark, sf))).filter("emitted")
+    names = ("aws_region", "event_id", "error_code", "mfa_authenticated")
+    return rows.select("file", "line_no", *[F.col("extra")[n].alias(n) for n in names])
+
+
 @query
 def cloud_audit_errors(spark, sf):
     rows = cloudaudit.parse_records(cloudaudit.line_records(cloud_lines(spark, sf)))
@@ -708,6 +717,38 @@ def ingest_runs(spark, sf):
     )
 
 
+def _event_store(spark, sf) -> EventStore:
+    store = EventStore(spark, f"{ensure_checkpoint_dir(spark)}/trailhound-store-{uuid.uuid4().hex}")
+    store.append_events(stored_events(spark, sf))
+    return store
+
+
+@query
+def stored_events_by_time(spark, sf):
+    """Half an hour of the store in order of time; other days' folders are not read."""
+    rows = _event_store(spark, sf).events_between(
+        dt.datetime(2024, 1, 1, 0, 10, tzinfo=dt.timezone.utc), dt.datetime(2024, 1, 1, 0, 40, tzinfo=dt.timezone.utc))
+    return rows.select("event_id", us("ts").alias("us"), "action", F.col("event_date").cast("string").alias("day"))
+
+
+@query
+def store_round_trip(spark, sf):
+    """Events as they come back from the store, with what identifies them."""
+    return _event_store(spark, sf).events().select(
+        "event_id", us("ts").alias("us"), "source_type", "raw", "outcome", "actor_name", "policy_arn",
+        joined(F.array_sort("entity_keys")).alias("entity_keys"), "dedup_hash", "evidence_hash", "raw_hash",
+    )
+
+
+@query
+def broken_mapping_audit(spark, sf):
+    """Rules and shortlists against a catalog that lacks the techniques some findings have."""
+    found = detection(spark, sf).findings
+    gone = found.filter(F.col("rule_id").isin("cloud_logging_disabled", "admin_policy_attached")).select("technique").distinct()
+    catalog = cat.built_in_catalog(spark).join(gone, F.col("technique_id") == F.col("technique"), "left_anti")
+    return cat.unusable_mappings(spark, catalog, lib.DEFAULT_RULES)
+
+
 @query
 def parsed_fingerprints(spark, sf):
     """Distinct events of the rendered host logs by their ingest fingerprint."""

@@ -41,6 +41,18 @@ def first_of_each(events: DataFrame, order: Sequence[str], key: str = "dedup_has
     return events.withColumn("_at", at).filter("_at = 1").drop("_at")
 
 
+def same_days(events: DataFrame, stored: DataFrame) -> DataFrame:
+    """The stored events of the days that the given events span, and those without a day.
+
+    The time is part of a fingerprint, so equal ones lie on one day; other days' folders
+    need not be read."""
+    span = events.agg(F.min("ts").cast("date").alias("low"), F.max("ts").cast("date").alias("high")).first()
+    day = F.col("event_date")
+    if span is None or span["low"] is None:
+        return stored.filter(day.isNull())
+    return stored.filter(day.isNull() | day.between(F.lit(span["low"]), F.lit(span["high"])))
+
+
 def not_stored(events: DataFrame, stored: DataFrame, key: str = "dedup_hash") -> DataFrame:
     return events.join(stored.select(key), key, "left_anti")
 
@@ -142,7 +154,7 @@ def ingest(
     )
     hashed = with_hashes(with_entity_keys(conform(numbered)))
     fresh = materialize(
-        not_stored(first_of_each(hashed, ["event_id"]), store.events())
+        not_stored(first_of_each(hashed, ["event_id"]), same_days(parsed.filter("emitted"), store.events()))
     )
     persisted = fresh.groupBy("ingest_id").agg(F.count(F.lit(1)).alias("persisted"))
     ingests = (

@@ -15,6 +15,7 @@ STORED_EVENT = T.StructType(
         T.StructField("entity_keys", T.ArrayType(T.StringType())),
         T.StructField("dedup_hash", T.StringType()),
         T.StructField("evidence_hash", T.StringType()),
+        T.StructField("raw_hash", T.StringType()),
         T.StructField("event_date", T.DateType()),
     ]
 )
