@@ -186,22 +186,25 @@ def planted_points(n, seed):
 def test_routed_shards_miss_no_pair():
     points = planted_points(700, 4)
     array = np.array(points, dtype=np.uint64)
-    tree, leaves = simhash.build_tree(array[::3], 5)
-    assert leaves > 8
-    row, leaf, home = simhash.route(tree, array)
-    assert sorted(row[home]) == list(range(len(points)))
-    at = dict(zip(row[home], leaf[home]))
-    seen = {(r, x) for r, x in zip(row, leaf)}
+    at, seen = [], []
+    for half in (0, 1):
+        own = simhash.half_of(array, half)
+        tree, leaves = simhash.build_tree(own[::3], 5, 1)
+        assert leaves > 8
+        row, leaf, home = simhash.route(tree, own, 1)
+        assert sorted(row[home]) == list(range(len(points)))
+        at.append(dict(zip(row[home], leaf[home])))
+        seen.append(set(zip(row, leaf)))
     for i in range(len(points)):
         for j in range(i):
             if (points[i] ^ points[j]).bit_count() <= 3:
-                assert (i, at[j]) in seen or (j, at[i]) in seen
+                assert any((i, a[j]) in s or (j, a[i]) in s for a, s in zip(at, seen))
 
 
 def test_pruned_search_finds_all_pairs(monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK_PAIRS", 500)
     points = np.array(planted_points(500, 5), dtype=np.uint64)
-    got = {(int(a), int(b)) for i, j in simhash.near_pairs(points, points) for a, b in zip(i, j)}
+    got = {(int(a), int(b)) for h in (0, 1) for i, j in simhash.near_pairs(points, points, h) for a, b in zip(i, j)}
     near = np.bitwise_count(points[:, None] ^ points[None, :]) <= 3
     assert got == set(zip(*map(list, np.nonzero(near))))
 

@@ -1,11 +1,15 @@
 """SimHash near-duplicates by vantage-point trees.
 
-A top tree, built from a bounded sample of fingerprints, only says how to cut the Hamming
-space into shards. Every distinct fingerprint goes to its home shard and, where the triangle
-bound lets a partner lie across a boundary, also to the shards behind it; each shard is then
-joined with what came to it, again by vantage points. All pairs within the radius are found
-whatever the sample was. A shard sends on only a spanning forest of its links, so a dense
-group makes no quadratic output.
+Of two fingerprints that differ in at most r bits, one half differs in at most r // 2. So
+there is a tree for each half, and its triangle bounds need only that smaller radius, which
+leaves far fewer points near a boundary.
+
+The top of a tree, built from a bounded sample of fingerprints, only says how to cut the
+Hamming space into shards. Every distinct fingerprint goes to its home shard and, where the
+triangle bound lets a partner lie across a boundary, also to the shards behind it; each shard
+is then joined with what came to it, again by vantage points, and pairs are held against the
+radius over all bits. All pairs are found whatever the sample was. A shard sends on only a
+spanning forest of its links, so a dense group makes no quadratic output.
 
 Cases: a null or wordless text has fingerprint zero and links like any other; fewer words
 than a shingle are one shingle; copies share one fingerprint, which is handled once; rows
@@ -30,8 +34,8 @@ WORDS = 3
 SEED = 42
 RADIUS = 3
 #: Fingerprints a shard is home to, about, and rows of one cell of a shard.
-SHARD_ROWS = 2048
-CELL_ROWS = 8192
+SHARD_ROWS = 4096
+CELL_ROWS = 16384
 #: Fingerprints from which the top tree is built; it decides costs, never results.
 SAMPLE = 4096
 #: Pairs compared at once in a leaf.
@@ -67,6 +71,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     )
 
 
+def half_of(points: np.ndarray, half: int) -> np.ndarray:
+    """The lower (0) or upper (1) 32 bits."""
+    return points >> np.uint64(32) if half else points & np.uint64(0xFFFFFFFF)
+
+
 def _distance(points: np.ndarray, vantage: int) -> np.ndarray:
     return np.bitwise_count(points ^ np.uint64(vantage)).astype(np.int16)
 
@@ -98,7 +107,7 @@ def _vantage(points: np.ndarray, radius: int) -> tuple[int, int] | None:
     return best and best[1:]
 
 
-def build_tree(points: np.ndarray, depth: int, radius: int = RADIUS) -> tuple[Node, int]:
+def build_tree(points: np.ndarray, depth: int, radius: int) -> tuple[Node, int]:
     """A tree of at most `depth` levels over a sample, and its number of leaves."""
     leaves = 0
 
@@ -115,7 +124,7 @@ def build_tree(points: np.ndarray, depth: int, radius: int = RADIUS) -> tuple[No
     return grow(points, depth), leaves
 
 
-def route(tree: Node, points: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def route(tree: Node, points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, leaf, home): the home leaf of each point and the later leaves it must ask."""
     rows, leaves, homes = [], [], []
 
@@ -143,19 +152,20 @@ def route(tree: Node, points: np.ndarray, radius: int = RADIUS) -> tuple[np.ndar
     return row[keep], leaf[keep], home[keep]
 
 
-def near_pairs(own: np.ndarray, other: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (own, other) within the radius, in blocks; branches that the triangle
-    bound excludes are not compared."""
+def near_pairs(own: np.ndarray, other: np.ndarray, half: int, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (own, other) within the radius that are near in the given half, in blocks;
+    branches that the triangle bound excludes are not compared."""
+    own_half, other_half, bound = half_of(own, half), half_of(other, half), radius // 2
     stack = [(np.arange(len(own)), np.arange(len(other)))]
     while stack:
         a, b = stack.pop()
         if not len(a) or not len(b):
             continue
-        cut = _vantage(own[a[:: max(1, len(a) // 256)]], radius) if len(a) > 64 and len(a) * len(b) > BLOCK_PAIRS else None
+        cut = _vantage(own_half[a[:: max(1, len(a) // 256)]], bound) if len(a) > 64 and len(a) * len(b) > BLOCK_PAIRS else None
         if cut:
             vantage, within = cut
-            da, db = _distance(own[a], vantage), _distance(other[b], vantage)
-            inner, outer = db <= within + radius, db > within - radius
+            da, db = _distance(own_half[a], vantage), _distance(other_half[b], vantage)
+            inner, outer = db <= within + bound, db > within - bound
             if np.count_nonzero(inner) + np.count_nonzero(outer) < 1.95 * len(b):
                 stack += [(a[da <= within], b[inner]), (a[da > within], b[outer])]
                 continue
@@ -186,7 +196,7 @@ def _cell_links(group: pd.DataFrame, radius: int = RADIUS) -> pd.DataFrame:
     role = group["role"].to_numpy()
     own, other = np.nonzero(role != 1)[0], np.nonzero(role != 0)[0]
     label = np.arange(len(points))
-    for i, j in near_pairs(points[own], points[other], radius):
+    for i, j in near_pairs(points[own], points[other], int(group["half"].iloc[0]), radius):
         label = _hook(label, own[i], other[j])
     linked = np.nonzero(label != np.arange(len(points)))[0]
     fp = group["fp"].to_numpy()
@@ -201,20 +211,22 @@ def links(distinct: DataFrame, total: int, radius: int = RADIUS) -> DataFrame:
     """
     sample = [r["fp"] for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()]
     depth = max(0, int(np.ceil(np.log2(max(1, total) / SHARD_ROWS))))
-    tree, _ = build_tree(np.array(sample, dtype=np.int64).view(np.uint64), depth, radius)
+    points = np.array(sample, dtype=np.int64).view(np.uint64)
+    trees = [build_tree(half_of(points, half), depth, radius // 2)[0] for half in (0, 1)]
 
     def send(batches):
         for batch in batches:
             fp = batch["fp"].to_numpy()
             for at in range(0, len(fp), 4096):
                 own = fp[at:at + 4096]
-                row, leaf, home = route(tree, own.view(np.uint64), radius)
-                yield pd.DataFrame({"leaf": leaf.astype(np.int32), "fp": own[row], "home": home})
+                for half, tree in enumerate(trees):
+                    row, leaf, home = route(tree, half_of(own.view(np.uint64), half), radius // 2)
+                    yield pd.DataFrame({"half": np.int32(half), "leaf": leaf.astype(np.int32), "fp": own[row], "home": home})
 
-    sent = materialize(distinct.select("fp").mapInPandas(send, "leaf int, fp long, home boolean"))
+    sent = materialize(distinct.select("fp").mapInPandas(send, "half int, leaf int, fp long, home boolean"))
     # A shard of any size is met in cells of bounded size: part i of those at home against
     # part j of all that came. Most shards are one cell, whose rows have both roles (2).
-    sizes = sent.groupBy("leaf").agg(
+    sizes = sent.groupBy("half", "leaf").agg(
         F.ceil(F.sum(F.col("home").cast("long")) / CELL_ROWS).alias("kh"),
         F.ceil(F.count(F.lit(1)) / CELL_ROWS).alias("ko"),
     ).filter("kh > 0")
@@ -223,14 +235,14 @@ def links(distinct: DataFrame, total: int, radius: int = RADIUS) -> DataFrame:
     as_own = F.transform(F.sequence(F.lit(0), F.col("ko") - 1), lambda j: F.struct(h.alias("i"), j.alias("j"), F.lit(0).alias("role")))
     as_other = F.transform(F.sequence(F.lit(0), F.col("kh") - 1), lambda i: F.struct(i.alias("i"), o.alias("j"), F.lit(1).alias("role")))
     both = F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.when(F.col("home"), 2).otherwise(1).alias("role")))
-    cells = sent.join(F.broadcast(sizes), "leaf").select(  # a row per leaf of the bounded tree
-        "leaf", "fp",
+    cells = sent.join(F.broadcast(sizes), ["half", "leaf"]).select(  # a row per leaf of the bounded trees
+        "half", "leaf", "fp",
         F.explode(
             F.when((F.col("kh") == 1) & (F.col("ko") == 1), both)
             .when(F.col("home"), F.concat(as_own, as_other)).otherwise(as_other)
         ).alias("c"),
     )
-    return cells.select("leaf", "fp", "c.i", "c.j", "c.role").groupBy("leaf", "i", "j").applyInPandas(
+    return cells.select("half", "leaf", "fp", "c.i", "c.j", "c.role").groupBy("half", "leaf", "i", "j").applyInPandas(
         lambda pdf: _cell_links(pdf, radius), "a long, b long"
     )
 
@@ -239,11 +251,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row per document: doc_id, fingerprint (hex), component_id (least doc_id reachable)."""
     marked = materialize(fingerprints(docs))
     distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = connected_components(links(distinct, distinct.count(), radius))
+    found = connected_components(materialize(links(distinct, distinct.count(), radius)))
     member = found.join(distinct.withColumnRenamed("fp", "node"), "node")
     named = member.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = found.join(named, "component").select(F.col("node").alias("fp"), "component_id")
-    every = distinct.join(classes, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # Written, so that a fingerprint with very many documents is a join that Spark can split.
+    every = materialize(distinct.join(classes, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
     return marked.join(every, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
