@@ -44,6 +44,8 @@ FLOOR = {"word_length": 0.15, "symbols": 0.035, "repeated_lines": 0.15, "repeate
 #: Upper tail of the chi-square distribution beyond which a distance is an outlier's.
 TAIL = 1e-9
 UNIT = 256
+#: Parts in which the rows of one group meet its estimate.
+SALTS = 32
 
 _UPPER, _LOWER = np.arange(65, 91), np.arange(97, 123)
 _DIGIT = np.arange(48, 58)
@@ -166,6 +168,8 @@ def _bin(distance2: Column) -> Column:
 
 def _core(binned: DataFrame, share: float) -> DataFrame:
     """The nearest bins of each group that hold at least `share` of it."""
+    sums = [c for c in binned.columns if c not in ("pool", "salt", "bin")]
+    binned = binned.groupBy("pool", "bin").agg(*[F.sum(c).alias(c) for c in sums])
     order = Window.partitionBy("pool").orderBy("bin")
     return (
         binned.withColumn("before", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -184,20 +188,22 @@ def _estimate(sums: DataFrame) -> DataFrame:
 
 
 def _start(rows: DataFrame) -> DataFrame:
-    """Medians as the first centre, floors and median deviations as the first scatter. The
-    coordinates are whole numbers within a known range, so exact medians hold few values."""
-    mid = rows.groupBy("pool").agg(*[F.percentile(f"x{i}", 0.5).alias(f"m{i}") for i in range(DIM)])
-    off = rows.join(mid, "pool").groupBy("pool").agg(
-        *[F.first(f"m{i}").alias(f"m{i}") for i in range(DIM)],
-        *[F.percentile(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5).alias(f"d{i}") for i in range(DIM)],
-    )
+    """Medians as the first centre, floors and quartile distances as the first scatter. The
+    coordinates are whole numbers within a known range, so exact quartiles hold few values."""
+    quarters = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    found = rows.groupBy("pool").agg(*[F.percentile(f"x{i}", quarters).alias(f"q{i}") for i in range(DIM)])
     floor = [f * UNIT for f in FLOOR.values()]
-    zero = F.lit(0.0)
+    spread = [(F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349 for i in range(DIM)]
     inverse = [
-        1 / (F.pow(1.4826 * F.col(f"d{i}"), 2) + floor[i] ** 2) if i == j else zero
+        1 / (F.pow(spread[i], 2) + floor[i] ** 2) if i == j else F.lit(0.0)
         for i in range(DIM) for j in range(DIM)
     ]
-    return materialize(off.select("pool", F.array(*[F.col(f"m{i}") for i in range(DIM)]).alias("centre"), F.array(*inverse).alias("inverse")))
+    return materialize(found.select("pool", F.array(*[F.col(f"q{i}")[1] for i in range(DIM)]).alias("centre"), F.array(*inverse).alias("inverse")))
+
+
+def _for_all(estimates: DataFrame) -> DataFrame:
+    """The estimates once per salt: rows of one group meet them in many tasks."""
+    return estimates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
 def _pools(measured: DataFrame, least: int) -> DataFrame:
@@ -225,24 +231,25 @@ def judge_quality(docs: DataFrame, least: int = LEAST, share: float = CORE_SHARE
     pools = _pools(measured, least)
     joined = measured.alias("m").join(
         pools.alias("p"), F.col("m.lang").eqNullSafe(F.col("p.lang")) & F.col("m.source").eqNullSafe(F.col("p.source")), "left"
-    ).select("m.*", "p.pool")
+    ).select("m.*", "p.pool", F.pmod(F.xxhash64("m.doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
     pooled = materialize(joined)
     rows = pooled.filter(~F.col("base_failed"))
     enough = rows.groupBy("pool").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= least).select("pool")
-    rows = rows.join(enough, "pool", "left_semi").select("pool", *[f"x{i}" for i in range(DIM)])
+    rows = rows.join(enough, "pool", "left_semi").select("pool", "salt", *[f"x{i}" for i in range(DIM)])
     now = _start(rows)
     for _ in range(steps):
-        binned = _with_sums(rows.join(now, "pool").withColumn("bin", _bin(_distance2())).groupBy("pool", "bin"))
+        binned = _with_sums(rows.join(_for_all(now), ["pool", "salt"]).withColumn("bin", _bin(_distance2())).groupBy("pool", "salt", "bin"))
         now = _estimate(_add_up(_core(binned, share)))
     # The core's scatter is too small by construction; the scale puts its edge where the
     # chi-square distribution has it, and never shrinks.
-    edge = _core(rows.join(now, "pool").groupBy("pool", _bin(_distance2()).alias("bin")).agg(F.count(F.lit(1)).alias("n")), share)
+    binned = rows.join(_for_all(now), ["pool", "salt"]).groupBy("pool", "salt", _bin(_distance2()).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    edge = _core(binned, share)
     scale = edge.groupBy("pool").agg(F.greatest(
         (F.pow(2.0, (F.max("bin") + 1) / 8.0) - 1) / chi2_point(1 - share, DIM), F.lit(1.0)).alias("scale"))
     final = materialize(now.join(scale, "pool"))
     far = F.col("distance2") > chi2_point(tail, DIM)
     return (
-        pooled.join(final, "pool", "left")
+        pooled.join(_for_all(final), ["pool", "salt"], "left")
         .withColumn("distance2", _distance2() / F.col("scale"))
         .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                 (~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).alias("kept"), "distance2")
