@@ -24,6 +24,7 @@ import hashlib
 import io
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -54,6 +55,7 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().translate(_TO_WORDS).split()
 
 
+@lru_cache(maxsize=MEMO_WORDS)
 def word_features(word: bytes) -> list[bytes]:
     """The word, its beginnings and its ending."""
     chars = word.decode()
@@ -154,10 +156,22 @@ def _firsts(sizes: np.ndarray) -> np.ndarray:
 
 
 def telling_features(docs: list[list[bytes]], toxic: np.ndarray) -> set[bytes]:
-    """Words and beginnings that mark toxic documents beyond chance."""
+    """Words and beginnings that mark toxic documents beyond chance.
+
+    In toxic documents a feature counts once per word before it: copies of a document or a
+    passage repeat their words in one setting and are no more evidence than one of them."""
     seen: dict[bytes, list[int]] = {}
+    settings: set[tuple[bytes, bytes]] = set()
     for words, bad in zip(docs, toxic):
-        for f in {f for w in set(words) for f in word_features(w) if f[:1] != b"s"}:
+        mine: set[bytes] = set()
+        for w, before in zip(words, [b"", *words]):
+            for f in word_features(w):
+                if f[:1] == b"s" or f in mine or (bad and (f, before) in settings):
+                    continue
+                mine.add(f)
+                if bad:
+                    settings.add((f, before))
+        for f in mine:
             seen.setdefault(f, [0, 0])[int(bad)] += 1
     rate = toxic.mean() if len(toxic) else 0.0
     if not 0 < rate < 1 or not seen:
@@ -230,7 +244,8 @@ def fit_field(docs: list[list[bytes]], toxic: np.ndarray) -> dict | None:
 
 
 def document_features(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Per document: log odds of the likeliest token, log of the expected toxic tokens."""
+    """Per document: log odds of the likeliest token, log of the expected toxic tokens, and of
+    their share, as one rare word in a long text says less than in a short one."""
     begins = np.cumsum(sizes) - sizes
     most, total = np.zeros(len(sizes)), np.zeros(len(sizes))
     some = sizes > 0
@@ -238,7 +253,8 @@ def document_features(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         most[some] = np.maximum.reduceat(p, begins[some])
         total[some] = np.add.reduceat(p, begins[some])
     most = np.clip(most, 1e-4, 1 - 1e-4)
-    return np.column_stack([np.ones(len(sizes)), np.log(most / (1 - most)), np.log1p(total)])
+    share = np.log((total + 0.05) / (sizes + 5))
+    return np.column_stack([np.ones(len(sizes)), np.log(most / (1 - most)), np.log1p(total), share])
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -269,7 +285,7 @@ class Model:
         rate = (toxic.sum() + 0.5) / (len(toxic) + 1)
         if field is None:
             return cls({"rate": np.array(min(rate, 0.29))})
-        made = cls({**{k: np.asarray(v) for k, v in field.items()}, "logistic": np.zeros(3)})
+        made = cls({**{k: np.asarray(v) for k, v in field.items()}, "logistic": np.zeros(4)})
         p, sizes = made.marginals(docs)
         made.arrays["logistic"] = fit_logistic(document_features(p, sizes), toxic.astype(float))
         return made
