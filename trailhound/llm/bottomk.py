@@ -17,6 +17,8 @@ order: their own text follows them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trailhound.session import materialize
@@ -29,23 +31,30 @@ _SPACE = float(1 << 60)
 RANGE_ROWS = 500_000
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once: as a lambda's variable it is not written
+    out again wherever it is used, as a column's expression would be."""
+    return F.transform(F.array(value), use)[0]
+
+
 def words_of(text: Column) -> Column:
     return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
 def shingle_hashes(words: Column, size: int = WORDS) -> Column:
     """The hash of each shingle, as a whole number of 60 bits."""
-    def at(i: Column) -> Column:
-        return F.shiftrightunsigned(F.xxhash64(*[F.get(words, i + j) for j in range(size)]), 4)
+    def of(w: Column) -> Column:
+        n = F.size(w)
+        # Words beyond the end are null, which the hash passes over: a short text is one shingle.
+        at = lambda i: F.shiftrightunsigned(F.xxhash64(*[F.get(w, i + j) for j in range(size)]), 4)
+        return F.when(n == 0, F.array().cast("array<long>")).otherwise(
+            F.transform(F.sequence(F.lit(0), F.greatest(n - size, F.lit(0))), at))
 
-    n = F.size(words)
-    # Words beyond the end are null, which the hash passes over: a short text is one shingle.
-    last = F.greatest(n - size, F.lit(0))
-    return F.when(n == 0, F.array().cast("array<long>")).otherwise(F.transform(F.sequence(F.lit(0), last), at))
+    return let(words, of)
 
 
 def least(hashes: Column, k: int = K) -> Column:
-    return F.slice(F.array_sort(F.array_distinct(hashes)), 1, k)
+    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, k)
 
 
 def sketch(text: Column, k: int = K, size: int = WORDS) -> Column:
@@ -65,9 +74,12 @@ def from_text(fingerprint: Column) -> Column:
 
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, k)
-    both = F.size(F.array_intersect(union, F.array_intersect(a, b)))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / F.size(union))
+    """Of the k least hashes of the union, the share that both have."""
+    def of(union: Column) -> Column:
+        both = F.size(F.array_intersect(union, F.array_intersect(a, b)))
+        return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(both / F.size(union))
+
+    return let(F.slice(F.sort_array(F.array_union(a, b)), 1, k), of)
 
 
 def distinct_shingles(hashes: Column, k: int = K) -> Column:
@@ -117,26 +129,30 @@ def fingerprint_pairs(docs: DataFrame, k: int = K, size: int = WORDS) -> DataFra
     follow = materialize(_successors(slim, slim.count()))
     # What a document gives the one before it: the sketch, and as much text as that one wants.
     wanted = follow.groupBy(F.col("next_id").alias("doc_id")).agg(F.max("half").alias("wanted"))
-    marked = base.withColumn("fp", to_text(sketch(F.col("text"), k, size)))
+    marked = base.withColumn("sketch", sketch(F.col("text"), k, size))
     gifts = (
         marked.join(wanted, "doc_id")
-        .select("doc_id", F.col("text").substr(F.lit(1), F.col("wanted").cast("int")).alias("head"), "fp")
-        .groupBy("doc_id").agg(F.min_by(F.struct("head", "fp"), F.struct(F.xxhash64("head"), "head", "fp")).alias("g"))
-        .select(F.col("doc_id").alias("next_id"), "g.head", F.col("g.fp").alias("next_fp"))
+        .select("doc_id", F.col("text").substr(F.lit(1), F.col("wanted").cast("int")).alias("head"), "sketch")
+        .withColumn("order", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("head"), "head", F.xxhash64("sketch"))))
+        .filter(F.col("order") == 1)
+        .select(F.col("doc_id").alias("next_id"), "head", F.col("sketch").alias("next_sketch"))
     )
-    given = follow.select("doc_id", "next_id").join(gifts, "next_id").select("doc_id", "head", "next_fp")
+    given = follow.select("doc_id", "next_id").join(gifts, "next_id").select("doc_id", "head", "next_sketch")
     joined = marked.join(given, "doc_id", "left").withColumn("n_chars", F.length("text").cast("long")).withColumn("half", half)
     edited = F.concat(
         F.col("text").substr(F.lit(1), (F.col("n_chars") - F.col("half")).cast("int")),
         F.coalesce(F.col("head"), F.col("text")).substr(F.lit(1), F.col("half").cast("int")),
     )
-    shown = joined.withColumn("edited", edited).select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("fp").alias("fingerprint"),
-        to_text(sketch(F.col("edited"), k, size)).alias("edited_fingerprint"), F.coalesce("next_fp", "fp").alias("next_fp"),
+    made = joined.select(
+        "doc_id", "n_chars", "sketch", F.coalesce("next_sketch", "sketch").alias("next_sketch"),
+        F.explode(F.array(edited)).alias("edited"),  # a generator's output is not worked out twice
+    ).select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sketch", "next_sketch",
+        F.explode(F.array(sketch(F.col("edited"), k, size))).alias("edited_sketch"),
     )
-    own = from_text(F.col("fingerprint"))
-    return shown.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        resemblance(own, from_text(F.col("edited_fingerprint")), k).alias("near_edited"),
-        resemblance(own, from_text(F.col("next_fp")), k).alias("near_next"),
+    return made.select(
+        "doc_id", "n_chars", "edited_sha256", to_text(F.col("sketch")).alias("fingerprint"),
+        to_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        resemblance(F.col("sketch"), F.col("edited_sketch"), k).alias("near_edited"),
+        resemblance(F.col("sketch"), F.col("next_sketch"), k).alias("near_next"),
     )
