@@ -1,11 +1,14 @@
 from __future__ import annotations
 
+import datetime as dt
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from trailhound.functions.hashing import with_hashes
+from trailhound.functions.json_values import strict_json
+from trailhound.functions.text import strip
 from trailhound.schema import conform
 from trailhound.sources import cloudaudit, hostlog
 from trailhound.sources.formats import LogFormat, detect_formats
@@ -228,6 +231,7 @@ def loaded(spark, tmp_path_factory):
     (logs / "lines.json").write_text("\n".join([json.dumps(record(eventID="e3")), "{bad", json.dumps(record())]))
     (logs / "notes.txt").write_text("nothing to see\n")
     (logs / "blank.txt").write_text("\n \n")
+    (logs / "nothing.txt").write_bytes(b"")
     store = EventStore(spark, str(tmp_path / "store"))
     return str(logs), store, ingest(spark, logs_glob(logs), store, 2026)
 
@@ -260,7 +264,42 @@ def test_ingest_errors_and_rejects(loaded):
         ("auth.log", 10, "bad timestamp"), ("lines.json", 2, "invalid JSON"),
         ("trail.json", 3, "record is not an object"), ("trail.json", 4, "malformed record"),
     ]
-    assert set(by_file(result.rejected.collect(), "file")) == {"notes.txt", "blank.txt"}
+    rejected = by_file(result.rejected.collect(), "file")
+    assert set(rejected) == {"notes.txt", "blank.txt", "nothing.txt"}
+    assert rejected["nothing.txt"].best_confidence == 0.0 and rejected["nothing.txt"].supported == "syslog_sshd, aws_cloudtrail"
+
+
+def test_what_stands_for_records_is_walked_and_holds_none(spark):
+    documents = [("o", '{"Records": {"eventName": "ConsoleLogin", "b": 1}}'), ("s", '{"Records": "ab"}'), ("n", '{"Records": [NaN]}')]
+    rows = cloudaudit.parse_records(cloudaudit.document_records(
+        spark.createDataFrame(documents, "file string, content string"))).orderBy("file", "line_no").collect()
+    assert [(r.file, r.emitted, r.error) for r in rows] == [
+        ("n", False, "record is not an object"), *[("o", False, "record is not an object")] * 2,
+        *[("s", False, "record is not an object")] * 2]
+
+
+def test_times_that_python_reads(spark):
+    texts = ["20260802T044100Z", "2026-08-02T04", "2026-W31-7", "2026W317", "2026-W31", "2026-08-02T0441Z", "2026-08-02t04:41:00+00:00",
+             "20260802", "2026-08-02 04:41:00.1234567", "2026-08-02T04:41:00,5-0330", "2026-W60-1", "2026-08", "2026-08-02T", "2026-08-02T4", "20260230"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", cloudaudit.iso_time(F.col("t")).alias("ts")).collect()
+    for row in got:
+        try:
+            want = dt.datetime.fromisoformat(row.t.replace("Z", "+00:00"))
+            want = want.replace(tzinfo=want.tzinfo or dt.timezone.utc)
+        except ValueError:
+            want = None
+        assert (row.ts and row.ts.astimezone(dt.timezone.utc)) == want, row.t
+
+
+@pytest.mark.parametrize("text, value", [("NaN", "0.5"), ('{"a": [-Infinity, "NaN"]}', '{"a":[0.5,"NaN"]}'), ("NaNa", None), ('"Infinity"', '"Infinity"')])
+def test_numbers_that_only_python_reads(spark, text, value):
+    row = spark.createDataFrame([(text,)], "t string").select(F.to_json(strict_json(F.col("t"))).alias("v")).first()
+    assert row.v == value
+
+
+def test_wide_blanks_are_stripped(spark):
+    blank = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+    assert spark.createDataFrame([(f"{blank}a b{blank}",)], "t string").select(strip(F.col("t")).alias("t")).first().t == "a b"
 
 
 def test_loading_again_stores_nothing(spark, loaded):

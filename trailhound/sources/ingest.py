@@ -88,7 +88,6 @@ def parse_stats(parsed: DataFrame) -> DataFrame:
 
 def parse_files(
     spark: SparkSession,
-    path: str | list[str],
     detected: DataFrame,
     lines: DataFrame,
     formats: Sequence[LogFormat],
@@ -103,8 +102,9 @@ def parse_files(
         rows = routed.filter(mine)
         if fmt.whole_files:
             rows = rows.filter("line_delimited")
-            whole = detected.filter(mine & ~F.col("line_delimited")).select("file")
-            extra["documents"] = read_documents(spark, path).join(whole, "file", "left_semi")
+            # One name per JSON document reaches the driver, as it does for any list of paths.
+            whole = detected.filter(mine & ~F.col("line_delimited")).select("file").collect()
+            extra["documents"] = read_documents(spark, [r["file"] for r in whole])
         out = fmt.parse(rows.select("file", "line_no", "value"), **extra)
         have = set(out.columns)
         parsed.append(
@@ -131,11 +131,12 @@ def ingest(
 ) -> IngestResult:
     """Load log files into the store. Loading the same files again stores nothing new."""
     pin_settings(spark)
-    lines = read_lines(spark, path)
+    # Numbered once: detection and every parser read the written lines, not the files again.
+    lines = materialize(read_lines(spark, path))
     found = materialize(detect_formats(lines, formats, min_confidence))
     detected = found.unionByName(without_lines(all_files(spark, path), found))
     parsed = materialize(
-        parse_files(spark, path, detected, lines, formats, default_year=default_year, zone=zone)
+        parse_files(spark, detected, lines, formats, default_year=default_year, zone=zone)
     )
     base = store.last_ingest_id()
     # Runs are numbered file by file; hash slices keep the numbering off a single task.

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 # Line breaks a text reader does not split on but Python's splitlines does.
@@ -61,9 +64,13 @@ def all_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.createDataFrame([(f,) for f in spark.read.text(path).inputFiles()], "file string")
 
 
-def read_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, content): one row per file."""
-    return spark.read.text(path, wholetext=True).select(
+def read_documents(spark: SparkSession, files: list[str]) -> DataFrame:
+    """(file, content): one row for each of the named files; no other file is opened."""
+    if not files:
+        return spark.createDataFrame([], "file string, content string")
+    # Names of scans are URI-encoded, paths to read are patterns.
+    paths = [re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(f)) for f in files]
+    return spark.read.text(paths, wholetext=True).select(
         F.col("_metadata.file_path").alias("file"), F.make_valid_utf8("value").alias("content")
     )
 
