@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from trailhound.session import materialize
+from trailhound.session import discard, materialize
 
 MAX_ROUNDS = 100
 
@@ -44,8 +44,12 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def connected_components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
-    """(node, component) for every node of an edge; the component is its least node."""
+def connected_components(
+    edges: DataFrame, left: str = "a", right: str = "b", max_rounds: int = MAX_ROUNDS
+) -> DataFrame:
+    """(node, component) for every node of an edge; the component is its least node.
+
+    Rounds grow with the logarithm of the longest chain; more than `max_rounds` is an error."""
     a, b = F.col(left), F.col(right)
     current = materialize(
         edges.filter(a != b)
@@ -54,10 +58,12 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
     )
     loops = edges.filter(a == b).select(a.alias("node"))
     seen = _fingerprint(current)
-    for _ in range(MAX_ROUNDS):
+    for _ in range(max_rounds):
         if seen[0] == 0:
             break
-        current = materialize(_small_star(_large_star(current)))
+        # The next round reads what this one wrote; the round before is not needed again.
+        before, current = current, materialize(_small_star(_large_star(current)))
+        discard(before)
         now = _fingerprint(current)
         if now == seen:
             break

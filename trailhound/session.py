@@ -56,4 +56,13 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/trailhound-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.written_to = path
+    return written
+
+
+def discard(written: DataFrame) -> None:
+    """Delete a table that `materialize` wrote and that nothing will read any more."""
+    spark = written.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(written.written_to)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
