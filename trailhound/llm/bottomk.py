@@ -102,57 +102,59 @@ def merge(parts: DataFrame, keys: list[str], hashes: str = "sketch", k: int = K)
     return ranked.groupBy(*keys).agg(F.sort_array(F.collect_list("h")).alias(hashes))
 
 
-def _successors(docs: DataFrame, count: int) -> DataFrame:
-    """doc_id, its successor in ascending order (the first after the last) and, for the
-    successor's row, how much of its text the document wants."""
-    spark = docs.sparkSession
-    ids = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("half").alias("half"))
+def _neighbours(ids: DataFrame, count: int) -> DataFrame:
+    """doc_id, prev_id (before it in ascending order; the last before the first) and wanted,
+    how much of the document's text the one before wants."""
+    spark = ids.sparkSession
     parts = max(1, -(-count // RANGE_ROWS))
     # Written once, so that the part of a row is the same whenever it is read.
     placed = materialize(ids.repartitionByRange(parts, "doc_id").withColumn("part", F.spark_partition_id()))
-    edges = placed.groupBy("part").agg(F.min("doc_id").alias("first"))
-    heads = [r["first"] for r in edges.orderBy("part").collect()]  # one row for half a million documents
-    following = spark.createDataFrame(
-        [(p["part"], heads[(i + 1) % len(heads)]) for i, p in enumerate(edges.orderBy("part").select("part").collect())],
-        "part int, after long",
+    # One row for half a million documents: where each range ends, and what its last one wants.
+    ends = placed.groupBy("part").agg(F.max_by(F.struct("doc_id", "half"), "doc_id").alias("last")).orderBy("part").collect()
+    carried = spark.createDataFrame(
+        [(e["part"], ends[i - 1]["last"]["doc_id"], ends[i - 1]["last"]["half"]) for i, e in enumerate(ends)],
+        "part int, end_id long, end_half long",
     )
-    nxt = F.lead("doc_id").over(Window.partitionBy("part").orderBy("doc_id"))
-    return placed.withColumn("nxt", nxt).join(following, "part").select(
-        "doc_id", "half", F.coalesce("nxt", "after").alias("next_id"))
+    order = Window.partitionBy("part").orderBy("doc_id")
+    return placed.withColumn("p", F.lag(F.struct("doc_id", "half")).over(order)).join(carried, "part").select(
+        "doc_id", F.coalesce("p.doc_id", "end_id").alias("prev_id"), F.coalesce("p.half", "end_half").alias("wanted"))
 
 
 def fingerprint_pairs(docs: DataFrame, k: int = K, size: int = WORDS) -> DataFrame:
-    """Each document's fingerprint, that of its edited text, and their likenesses."""
+    """Each document's fingerprint, that of its edited text, and their likenesses.
+
+    Texts are dealt by id once. There each gives the document before it the piece of text
+    that one wants, and its own sketch; only these travel again."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     half = F.floor(F.length("text") / 2).cast("long")
-    slim = materialize(base.select("doc_id", half.alias("half")))
-    follow = materialize(_successors(slim, slim.count()))
-    # What a document gives the one before it: the sketch, and as much text as that one wants.
-    wanted = follow.groupBy(F.col("next_id").alias("doc_id")).agg(F.max("half").alias("wanted"))
-    marked = base.withColumn("sketch", sketch(F.col("text"), k, size))
-    gifts = (
-        marked.join(wanted, "doc_id")
-        .select("doc_id", F.col("text").substr(F.lit(1), F.col("wanted").cast("int")).alias("head"), "sketch")
-        .withColumn("order", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("head"), "head", F.xxhash64("sketch"))))
-        .filter(F.col("order") == 1)
-        .select(F.col("doc_id").alias("next_id"), "head", F.col("sketch").alias("next_sketch"))
+    rows = materialize(base.select("doc_id", half.alias("half")).filter("doc_id IS NOT NULL"))
+    ids = materialize(rows.groupBy("doc_id").agg(F.max("half").alias("half")))
+    unique = ids.count()
+    placed = base.join(materialize(_neighbours(ids, unique)), "doc_id")
+    gifts = placed.select(
+        F.col("prev_id").alias("doc_id"), F.col("text").substr(F.lit(1), F.col("wanted").cast("int")).alias("head"),
+        sketch(F.col("text"), k, size).alias("next_sketch"),
     )
-    given = follow.select("doc_id", "next_id").join(gifts, "next_id").select("doc_id", "head", "next_sketch")
-    joined = marked.join(given, "doc_id", "left").withColumn("n_chars", F.length("text").cast("long")).withColumn("half", half)
+    if rows.count() > unique:  # of rows that share an id, one is the next document
+        first = Window.partitionBy("doc_id").orderBy(F.xxhash64("head"), "head", F.xxhash64("next_sketch"))
+        gifts = gifts.withColumn("order", F.row_number().over(first)).filter(F.col("order") == 1).drop("order")
+    followed = placed.select("doc_id", "text").join(gifts, "doc_id")
+    apart = base.filter("doc_id IS NULL").select(
+        "doc_id", "text", F.col("text").alias("head"), sketch(F.col("text"), k, size).alias("next_sketch"))
+    joined = followed.unionByName(apart).withColumn("n_chars", F.length("text").cast("long")).withColumn("half", half)
     edited = F.concat(
         F.col("text").substr(F.lit(1), (F.col("n_chars") - F.col("half")).cast("int")),
-        F.coalesce(F.col("head"), F.col("text")).substr(F.lit(1), F.col("half").cast("int")),
+        F.col("head").substr(F.lit(1), F.col("half").cast("int")),
     )
-    made = joined.select(
-        "doc_id", "n_chars", "sketch", F.coalesce("next_sketch", "sketch").alias("next_sketch"),
-        F.explode(F.array(edited)).alias("edited"),  # a generator's output is not worked out twice
-    ).select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sketch", "next_sketch",
-        F.explode(F.array(sketch(F.col("edited"), k, size))).alias("edited_sketch"),
+    # What a generator puts out is a column: it is not worked out again by each use.
+    made = joined.select("doc_id", "n_chars", "text", "next_sketch", F.explode(F.array(edited)).alias("edited")).select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "next_sketch",
+        F.explode(F.array(F.struct(
+            sketch(F.col("text"), k, size).alias("own"), sketch(F.col("edited"), k, size).alias("edited")))).alias("s"),
     )
     return made.select(
-        "doc_id", "n_chars", "edited_sha256", to_text(F.col("sketch")).alias("fingerprint"),
-        to_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        resemblance(F.col("sketch"), F.col("edited_sketch"), k).alias("near_edited"),
-        resemblance(F.col("sketch"), F.col("next_sketch"), k).alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", to_text(F.col("s.own")).alias("fingerprint"),
+        to_text(F.col("s.edited")).alias("edited_fingerprint"),
+        resemblance(F.col("s.own"), F.col("s.edited"), k).alias("near_edited"),
+        resemblance(F.col("s.own"), F.col("next_sketch"), k).alias("near_next"),
     )
