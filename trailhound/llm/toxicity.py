@@ -44,7 +44,7 @@ CHANCE = 0.01
 BUCKETS = 1 << 18
 THRESHOLD = 0.3
 BLOCK = 32
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
 HELD_OUT = 2
 
 _TO_WORDS = bytes(c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
@@ -55,7 +55,7 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().translate(_TO_WORDS).split()
 
 
-@lru_cache(maxsize=MEMO_WORDS)
+@lru_cache(maxsize=1 << 16)
 def word_features(word: bytes) -> list[bytes]:
     """The word, its beginnings and its ending."""
     chars = word.decode()
@@ -366,7 +366,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, chars:
         group = group.sort_values(["doc_id", "text"], kind="stable")
         order = np.argsort([zlib.crc32(str(i).encode()) for i in group["doc_id"]], kind="stable")
         group = group.iloc[order]
-        return pd.DataFrame({"model": [Model.fit(group["text"].tolist(), group["toxic"].to_numpy() > 0).to_bytes()]})
+        model = Model.fit(group["text"].tolist(), group["toxic"].to_numpy() > 0)
+        word_features.cache_clear()  # the worker goes on to other tasks
+        return pd.DataFrame({"model": [model.to_bytes()]})
 
     made = found.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(fit, "model binary").first()
     return Model.from_bytes(bytes(made["model"])) if made else Model({"rate": np.array(0.0)})
