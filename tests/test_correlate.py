@@ -156,11 +156,16 @@ def test_ambient_key_does_not_join_but_is_listed(spark, make_events):
 def test_severity_follows_tactic_breadth(spark, make_events):
     ladder = spark.range(6).select(cor.escalate(F.lit(50), F.col("id")).alias("s")).orderBy("id").collect()
     assert [r.s for r in ladder] == [50, 50, 50, 70, 70, 90]
-    catalog = spark.createDataFrame([("T1", "n", ["a", "b", "c"], None, False, "")], TECHNIQUE)
-    events = make_events([{}])
-    detection = build(spark, [{"entity_key": "host:web1", "evidence": [0], "technique": "T1"}], events)
-    row = cor.correlate(detection, events, catalog).incidents.first()
-    assert (row.severity_score, row.tactic_count) == (70, 3)
+    # End to end: one incident for each number of tactics.
+    scores = {0: 50, 2: 50, 3: 70, 4: 70, 5: 90}
+    catalog = spark.createDataFrame(
+        [(f"T{n}", "n", [f"t{i}" for i in range(n)], None, False, "") for n in scores], TECHNIQUE)
+    events = make_events([{"host": f"h{n}", "source_ip": f"10.0.0.{n}", "actor_name": f"a{n}"} for n in scores])
+    detection = build(spark, [
+        {"entity_key": f"host:h{n}", "evidence": [i], "technique": f"T{n}"} for i, n in enumerate(scores)
+    ], events)
+    rows = cor.correlate(detection, events, catalog).incidents.collect()
+    assert {r.tactic_count: r.severity_score for r in rows} == scores
 
 
 def test_severity_stops_at_the_top(spark):
