@@ -125,12 +125,17 @@ def fingerprint_pairs(docs: DataFrame, k: int = K, size: int = WORDS) -> DataFra
 
     Texts are dealt by id once. There each gives the document before it the piece of text
     that one wants, and its own sketch; only these travel again."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # A plain column where no cast is needed: both readers of the texts dealt by id then have
+    # the same plan, and Spark shuffles them once.
+    ids_are_long = docs.schema["doc_id"].dataType.typeName() == "long"
+    doc_id = F.col("doc_id") if ids_are_long else F.col("doc_id").cast("long").alias("doc_id")
+    base = docs.select(doc_id, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     half = F.floor(F.length("text") / 2).cast("long")
     rows = materialize(base.select("doc_id", half.alias("half")).filter("doc_id IS NOT NULL"))
     ids = materialize(rows.groupBy("doc_id").agg(F.max("half").alias("half")))
     unique = ids.count()
-    placed = base.join(materialize(_neighbours(ids, unique)), "doc_id")
+    known = base.filter("doc_id IS NOT NULL")
+    placed = known.join(materialize(_neighbours(ids, unique)), "doc_id")
     gifts = placed.select(
         F.col("prev_id").alias("doc_id"), F.col("text").substr(F.lit(1), F.col("wanted").cast("int")).alias("head"),
         sketch(F.col("text"), k, size).alias("next_sketch"),
@@ -138,7 +143,7 @@ def fingerprint_pairs(docs: DataFrame, k: int = K, size: int = WORDS) -> DataFra
     if rows.count() > unique:  # of rows that share an id, one is the next document
         first = Window.partitionBy("doc_id").orderBy(F.xxhash64("head"), "head", F.xxhash64("next_sketch"))
         gifts = gifts.withColumn("order", F.row_number().over(first)).filter(F.col("order") == 1).drop("order")
-    followed = placed.select("doc_id", "text").join(gifts, "doc_id")
+    followed = known.join(gifts, "doc_id")
     apart = base.filter("doc_id IS NULL").select(
         "doc_id", "text", F.col("text").alias("head"), sketch(F.col("text"), k, size).alias("next_sketch"))
     joined = followed.unionByName(apart).withColumn("n_chars", F.length("text").cast("long")).withColumn("half", half)
