@@ -1,22 +1,26 @@
 """Encoding with the tokenizers library, each distinct space-led chunk encoded once.
 
-The byte-level pre-tokenizer starts a new word at every space that follows a character that is
-not white space, so the ids of a text are those of its chunks, joined. Chunks repeat; their
-ids are kept. Texts whose white space does not cut this way are encoded whole.
+The byte-level pre-tokenizer starts a new word at every space or line feed that follows a
+character that is not white space (a line feed before a word is a word of its own), so the ids
+of a text are those of its chunks, joined. Chunks repeat; their ids are kept. A chunk of
+letters with one mark behind them is two words, of which the first may be known. Texts whose
+white space does not cut this way are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
-from itertools import filterfalse
+import re
 
 import numpy as np
 
 #: Chunks of a generation. A worker keeps two: what it does not meet again for so many new
 #: chunks is forgotten.
-MEMO_CHUNKS = 250_000
+MEMO_CHUNKS = 320_000
 #: Chunks encoded as one text.
 TOGETHER = 500
+#: Letters that are letters in any version of Unicode, and a mark.
+_MARKED = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+[.,;:!?]")
 _made: dict = {}
 
 
@@ -60,11 +64,12 @@ class MemoEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def _apart(self, chunks: list[str]) -> list[bytes]:
-        """The ids of each chunk with its leading space, from encodings of many together."""
-        groups = [chunks[i:i + TOGETHER] for i in range(0, len(chunks), TOGETHER)]
-        found = self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)
+        """The ids of each chunk with its leading white space, from encodings of many together."""
+        led = [c if c[0] == "\n" else f" {c}" for c in chunks]
+        groups = ["".join(led[i:i + TOGETHER]) for i in range(0, len(led), TOGETHER)]
+        found = self.tokenizer.encode_batch_fast(groups, add_special_tokens=False)
         ids = np.concatenate([np.array(e.ids, dtype="<u4") for e in found])
-        ends = np.cumsum([len(c.encode()) + 1 for c in chunks])
+        ends = np.cumsum([len(c.encode()) for c in led])
         cuts = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
         raw, out, begin = ids.tobytes(), [], 0
         for end in (4 * cuts).tolist():
@@ -86,22 +91,30 @@ class MemoEncoder:
             self.heads.clear()
         memo, older = self.memo, self.older
         get = memo.get
-        cut = [(t or "").split(" ") for t in texts]
-        new = {c for chunks in cut for c in filterfalse(memo.__contains__, chunks)}
+        first, found = [], []
+        for t in texts:
+            chunks = (t or "").replace("\n", " \n").split(" ")
+            first.append(chunks[0])
+            found.append(list(map(get, chunks, chunks)))  # ids, or the chunk where it is new
+        new = {p for parts in found for p in parts if type(p) is str}
         again = new.intersection(older)
         memo.update(zip(again, map(older.__getitem__, again)))
         new -= again
-        fit = [c for c in new if c and not c[-1].isspace()]
-        memo.update(dict.fromkeys(new))  # None: this chunk does not end a word
+        marked = list(filter(_MARKED.fullmatch, new))
+        whole = new.difference(marked)
+        whole.update(c[:-1] for c in marked if c[:-1] not in memo)
+        fit = [c for c in whole if c and not c[-1].isspace()]
+        memo.update(dict.fromkeys(whole))  # None: this chunk does not end a word
         if fit:
             memo.update(zip(fit, self._apart(fit)))
+        memo.update((c, memo[c[:-1]] + self._head(c[-1])) for c in marked)
         out = []
-        for text, chunks in zip(texts, cut):
-            parts = list(map(get, chunks))
+        for text, head, parts in zip(texts, first, found):
+            parts = [memo[p] if type(p) is str else p for p in parts]
             # A chunk that is empty or ends in white space joins the space after it.
             if None in parts:
                 out.append(self._plain(text or "").tobytes())
             else:
-                parts[0] = self._head(chunks[0])
+                parts[0] = self._head(head)
                 out.append(b"".join(parts))
         return out
