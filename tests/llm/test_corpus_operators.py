@@ -73,6 +73,17 @@ def test_estimates_agree_with_a_plain_version_and_reject_what_is_far(spark):
     assert all(got[i].base_failed and not got[i].kept for i in (900, 901, 902))
 
 
+def test_copies_of_junk_are_rejected_up_to_nearly_half_of_a_group(spark):
+    rng = random.Random(3)
+    junk, rows = "$$$ %%% costs 100% || $$ now $$ " + sentence(rng, 40, "%"), []
+    for lang, percent in (("aa", 26), ("bb", 35), ("cc", 45)):
+        rows += [(junk if i < 3 * percent else sentence(rng, rng.randint(30, 80)), lang, "s") for i in range(300)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality.judge_quality(docs).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [i for i in got if not got[i].kept] == [i for i in got if rows[i][0] == junk]
+
+
 def test_chi_square_points():
     assert quality.chi2_point(0.05, 3) == pytest.approx(7.815, abs=0.05)
     assert quality.chi2_point(0.001, 8) == pytest.approx(26.12, abs=0.3)

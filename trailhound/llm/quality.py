@@ -19,6 +19,7 @@ language, then altogether; what is still fewer has no estimate, and the base rul
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from operator import eq
 from statistics import NormalDist
 
@@ -33,8 +34,9 @@ WINDOW_WORDS = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 SYMBOLS = b"#*$%&|<>"
-#: Share of a group that an estimate rests on, and its concentration steps.
-CORE_SHARE = 0.75
+#: Share of a group that an estimate rests on, and its concentration steps. Half is the share
+#: that bears most outliers: whatever is less than half of a group need not enter its core.
+CORE_SHARE = 0.5
 STEPS = 4
 #: Documents a group needs for an estimate of its own.
 LEAST = 200
@@ -44,6 +46,8 @@ FLOOR = {"word_length": 0.15, "symbols": 0.035, "repeated_lines": 0.15, "repeate
 #: Upper tail of the chi-square distribution beyond which a distance is an outlier's.
 TAIL = 1e-9
 UNIT = 256
+#: A normal distribution's spread against its median absolute deviation.
+NORMAL_SPREAD = 1 / NormalDist().inv_cdf(0.75)
 #: Parts in which the rows of one group meet its estimate.
 SALTS = 32
 
@@ -188,17 +192,22 @@ def _estimate(sums: DataFrame) -> DataFrame:
 
 
 def _start(rows: DataFrame) -> DataFrame:
-    """Medians as the first centre, floors and quartile distances as the first scatter. The
-    coordinates are whole numbers within a known range, so exact quartiles hold few values."""
-    quarters = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    found = rows.groupBy("pool").agg(*[F.percentile(f"x{i}", quarters).alias(f"q{i}") for i in range(DIM)])
+    """Medians as the first centre, floors and median absolute deviations as the first scatter:
+    both hold until half of a group is outliers (quartile distances, until a quarter). The
+    coordinates are whole numbers within a known range, so exact medians hold few values."""
+    def medians(table: DataFrame, value: Callable[[int], Column], name: str) -> DataFrame:
+        found = table.groupBy("pool").agg(*[F.percentile(value(i), F.lit(0.5)).alias(f"m{i}") for i in range(DIM)])
+        return materialize(found.select("pool", F.array(*[F.col(f"m{i}") for i in range(DIM)]).alias(name)))
+
+    centres = medians(rows, lambda i: F.col(f"x{i}"), "centre")
+    away = rows.join(_for_all(centres), ["pool", "salt"])
+    spreads = medians(away, lambda i: F.abs(F.col(f"x{i}") - F.col("centre")[i]), "spread")
     floor = [f * UNIT for f in FLOOR.values()]
-    spread = [(F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349 for i in range(DIM)]
     inverse = [
-        1 / (F.pow(spread[i], 2) + floor[i] ** 2) if i == j else F.lit(0.0)
+        1 / (F.pow(F.col("spread")[i] * NORMAL_SPREAD, 2) + floor[i] ** 2) if i == j else F.lit(0.0)
         for i in range(DIM) for j in range(DIM)
     ]
-    return materialize(found.select("pool", F.array(*[F.col(f"q{i}")[1] for i in range(DIM)]).alias("centre"), F.array(*inverse).alias("inverse")))
+    return materialize(centres.join(spreads, "pool").select("pool", "centre", F.array(*inverse).alias("inverse")))
 
 
 def _for_all(estimates: DataFrame) -> DataFrame:
