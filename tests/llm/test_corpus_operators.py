@@ -84,6 +84,32 @@ def test_copies_of_junk_are_rejected_up_to_nearly_half_of_a_group(spark):
     assert [i for i in got if not got[i].kept] == [i for i in got if rows[i][0] == junk]
 
 
+def test_each_statistic_alone_rejects_its_extreme(spark):
+    rng = random.Random(4)
+    base = ["the", "stone", "river", "a", "walks", "green", "of", "light"]
+    some = [f"{a}{b}" for a in base for b in ("", "s", "ed")]
+    kept = [" ".join(rng.choices(some, k=rng.randint(40, 80))) for _ in range(300)]
+    words = rng.choices(some, k=100)
+    extreme = {
+        "word_length": " ".join(w * 4 for w in words), "symbols": " ".join(w + "$%" for w in words),
+        "repeated_lines": "\n".join(rng.choice(some) for _ in range(600)),
+        "capitals": " ".join(words).upper(), "punctuation": " ".join("." * len(w) for w in words),
+        "digits": " ".join("".join(rng.choice("0123456789") for _ in w) for w in words),
+        "echoes": " ".join(w for w in (f"{a}{b}" for a in base for b in "bcdfg") for _ in range(7)),
+        "repeated_words": " ".join(words[:69] + words[:31]),
+    }
+    texts = kept + list(extreme.values())
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality.judge_quality(docs).collect()}
+    assert all(got[i].kept for i in range(300))
+    for i, name in enumerate(extreme, 300):
+        assert not got[i].kept, name
+        assert got[i].base_failed == (name == "repeated_words"), name
+    point, limit = quality.chi2_point(quality.TAIL, quality.DIM), quality.MAX_REPEAT_PERCENT / 100
+    assert all((1 / f) ** 2 > point for name, f in quality.FLOOR.items() if name not in ("word_length", "repeated_words"))
+    assert 1 / quality.FLOOR["repeated_lines"] ** 2 + limit / quality.FLOOR["repeated_words"] ** 2 > point
+
+
 def test_chi_square_points():
     assert quality.chi2_point(0.05, 3) == pytest.approx(7.815, abs=0.05)
     assert quality.chi2_point(0.001, 8) == pytest.approx(26.12, abs=0.3)

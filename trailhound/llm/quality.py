@@ -40,8 +40,10 @@ CORE_SHARE = 0.5
 STEPS = 4
 #: Documents a group needs for an estimate of its own.
 LEAST = 200
-#: Spread that no coordinate is held to be below; the vector's coordinates, in order.
-FLOOR = {"word_length": 0.15, "symbols": 0.035, "repeated_lines": 0.15, "repeated_words": 0.15,
+#: Spread that no coordinate is held to be below; the vector's coordinates, in order. A share
+#: that can reach 1 needs a floor under 1 / sqrt(61.3) = 0.127 to cross the threshold alone;
+#: repeated words end at sqrt(0.30), where the base rule rejects.
+FLOOR = {"word_length": 0.15, "symbols": 0.035, "repeated_lines": 0.12, "repeated_words": 0.15,
          "capitals": 0.08, "punctuation": 0.06, "digits": 0.10, "echoes": 0.08}
 #: Upper tail of the chi-square distribution beyond which a distance is an outlier's.
 TAIL = 1e-9
