@@ -157,6 +157,29 @@ def test_unigram_models_are_rebuilt(tmp_path):
         assert codec.decode(ids) == codec.other.decode(np.frombuffer(ids, "<u4").tolist())
 
 
+def test_parity_is_of_whole_texts_and_of_their_decoding(tmp_path):
+    from tokenizers import decoders
+
+    words = {"▁": -3.0, "a": -4.0, "b": -4.5, "▁a": -4.2, "▁b": -4.4, "a▁b": -1.0}
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *[(w, s, 1) for w, s in words.items()]]
+    pieces += [(f"<0x{i:02X}>", -20.0, 6) for i in range(256)]
+    data = b"".join(message((1, message((1, p.encode()), (2, s), (3, k)))) for p, s, k in pieces)
+    data += message((2, message((3, 1), (35, 1))), (3, message((1, b"identity"), (3, 1), (4, 0), (5, 1))))
+    path = str(tmp_path / "across.model")
+    (tmp_path / "across.model").write_bytes(data)
+    codec = piece.Codec(path)
+    assert not codec.by_words and all(same for _, same in codec.encode(["a", "b", "a b"]))
+    codec.by_words = True  # joining goes wrong where a piece reaches across a space
+    assert [same for _, same in codec.encode(["a", "b", "a b"])] == [True, True, False]
+    work = piece._RoundTrip(path)
+    codec.by_words = False
+    piece.Codec.made[path] = codec
+    rows = {"doc_id": [0, 1, 2], "text": ["a a", "b", None]}
+    assert work.start()(rows)["parity"] == [True, True, True]
+    codec.tokenizer.decoder = decoders.Replace("b", "x")  # decoding goes wrong for one letter
+    assert work.start()(rows)["parity"][1:] == [False, True]
+
+
 # ---- op6 --------------------------------------------------------------------------------
 
 def plain_spans(text):

@@ -6,9 +6,10 @@ unigram scores or, for a BPE model, merges ranked by the score of what they make
 fallback. A worker encodes in batches, in several threads.
 
 No piece of a model that splits at white space holds the marker behind another character, so a
-text's ids are those of its marked words, joined; each distinct word is encoded once, and its
-ids are then compared with those of the sentencepiece library (`parity`). Texts that are not
-words with single spaces between are encoded whole, and compared whole.
+text's ids are those of its marked words, joined; each distinct word is encoded once. Texts that
+are not words with single spaces between are encoded whole. The ids of every whole text are
+then compared with the sentencepiece library's, and so is their decoding by the tokenizers
+library (`parity`); nothing is kept from one row's comparison to the next.
 
 Cases: a null text is empty and has no ids; repeated rows stay; texts of any length are
 encoded whole. A text decodes to itself but for what the model's normalizer changes.
@@ -30,7 +31,8 @@ from trailhound.llm.common import map_batches
 MARK = "▁"
 THREADS = 2
 MEMO_WORDS = 250_000
-TOGETHER = 500
+#: Characters of texts whose ids both libraries hold at a time; one text may be longer.
+TOGETHER = 1 << 20
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
@@ -159,6 +161,18 @@ def build(spec: Spec):
     return tokenizer
 
 
+def parts(texts: list[str | None]):
+    """Runs of texts of about TOGETHER characters."""
+    begin, held = 0, 0
+    for i, text in enumerate(texts):
+        if i > begin and held + len(text or "") > TOGETHER:
+            yield texts[begin:i]
+            begin, held = i, 0
+        held += len(text or "")
+    if texts:
+        yield texts[begin:]
+
+
 class Codec:
     """Batches of texts to ids, and ids to texts."""
 
@@ -176,8 +190,8 @@ class Codec:
             bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind in (CONTROL,) else p.replace(MARK, " ").encode()
             for p, _, kind in self.spec.pieces
         ]
-        self.memo: dict[str, tuple[bytes, bool]] = {}
-        self.older: dict[str, tuple[bytes, bool]] = {}
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Codec:
@@ -185,13 +199,12 @@ class Codec:
             cls.made[path] = cls(path)
         return cls.made[path]
 
-    def _both(self, texts: list[str]) -> list[tuple[bytes, bool]]:
-        mine = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        theirs = self.other.encode(texts, num_threads=THREADS)
-        return [(np.array(a.ids, dtype="<u4").tobytes(), a.ids == b) for a, b in zip(mine, theirs)]
+    def _own(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(a.ids, dtype="<u4").tobytes() for a in found]
 
-    def encode(self, texts: list[str | None]) -> list[tuple[bytes, bool]]:
-        """Little-endian ids, and whether the sentencepiece library gives the same."""
+    def _joined(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian ids by the tokenizers library, of words or else of whole texts."""
         if len(self.memo) > MEMO_WORDS:
             self.memo, self.older = {}, self.memo
         memo = self.memo
@@ -200,7 +213,7 @@ class Codec:
         again = new.intersection(self.older)
         memo.update(zip(again, map(self.older.__getitem__, again)))
         fit = [w for w in new - again if w]
-        memo.update(zip(fit, self._both(fit)))
+        memo.update(zip(fit, self._own(fit)))
         out: list = []
         whole = []
         for i, (text, words) in enumerate(zip(texts, cut)):
@@ -209,11 +222,30 @@ class Codec:
                 whole.append(i)
                 out.append(None)
             else:
-                out.append((b"".join([k[0] for k in known]), all(k[1] for k in known)))
-        for i, found in zip(whole, self._both([texts[i] for i in whole]) if whole else ()):
+                out.append(b"".join(known))
+        for i, found in zip(whole, self._own([texts[i] for i in whole]) if whole else ()):
             out[i] = found
         return out
 
+    def encode(self, texts: list[str | None]) -> list[tuple[bytes, bool]]:
+        """Little-endian ids, and whether the sentencepiece library gives the same for the whole text."""
+        out = []
+        for part in parts(texts):
+            theirs = self.other.encode([t or "" for t in part], num_threads=THREADS)
+            out += [(a, a == np.array(b, dtype="<u4").tobytes()) for a, b in zip(self._joined(part), theirs)]
+        return out
+
+    def round_trip(self, texts: list[str | None]) -> list[tuple[bytes, bool, str]]:
+        """Ids, whether sentencepiece agrees on them and on their decoding, and decoded text."""
+        out = []
+        for part in parts(texts):
+            found = self.encode(part)
+            numbers = [np.frombuffer(ids, dtype="<u4").tolist() for ids, _ in found]
+            mine = self.tokenizer.decode_batch(numbers, skip_special_tokens=False)
+            theirs = self.other.decode(numbers, num_threads=THREADS)
+            out += [(ids, same and a == b, a) for (ids, same), a, b in zip(found, mine, theirs)]
+        return out
+
     def decode(self, ids: bytes) -> str:
         surface = self.surface
         raw = b"".join([surface[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])
@@ -229,11 +261,11 @@ class _RoundTrip:
         codec = Codec.of(self.path)
 
         def work(rows: dict) -> dict:
-            found = codec.encode(rows["text"])
+            found = codec.round_trip(rows["text"])
             return {
                 "doc_id": rows["doc_id"], "n_tokens": [len(f[0]) // 4 for f in found],
                 "ids_crc32": [zlib.crc32(f[0]) for f in found], "parity": [f[1] for f in found],
-                "decoded": [codec.decode(f[0]) for f in found],
+                "decoded": [f[2] for f in found],
             }
 
         return work
