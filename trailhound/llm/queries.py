@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trailhound.llm import (
-    ann, attribution, bottomk, chat, licenses, packing, pii, piece, quality, simhash, spelling, toxicity,
+    align, ann, attribution, bottomk, chat, licenses, packing, pii, piece, quality, simhash, spelling, toxicity,
 )
 from trailhound.llm.common import read_table
 
@@ -64,6 +64,10 @@ def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(read_table(spark, sf_dir, "embeddings"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_tokens(read_table(spark, sf_dir, "documents"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(read_table(spark, sf_dir, "documents"))
 
@@ -72,7 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_quality_rules, op2_packing, op3_toxicity, op4_chat_formatting, op5_bottom_k, op6_personal_data,
         op7_license_scan, op8_token_attribution, op9_sentencepiece, op10_simhash_near_dedup, op11_nearest_neighbours,
-        op13_spelling_variants,
+        op12_token_alignment, op13_spelling_variants,
     )}
 
 
