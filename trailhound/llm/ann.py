@@ -16,8 +16,8 @@ cost and recall; every vector is indexed.
 
 Cases: rows without vec_id and vectors that are null, zero, or hold null or non-finite
 components take no part, nor do those whose length is not the commonest one (ties: the
-smaller). Equal rows count once. A vec_id with several vectors is asked with each and found
-once, by its nearest. Equal distances go to the smaller vec_id. An empty table gives no rows;
+smaller). Equal rows count once. A vec_id with several vectors is a row with each: asked with
+it, and found by it. Equal distances go to the smaller vec_id. An empty table gives no rows;
 columns besides the two are ignored.
 """
 
@@ -79,9 +79,9 @@ def classes(rows: DataFrame, k: int) -> DataFrame:
     )
 
 
-def matrix(column: pa.ChunkedArray | pa.Array, kind=np.float64) -> np.ndarray:
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
@@ -230,8 +230,8 @@ def head_graph(points: np.ndarray) -> np.ndarray:
     return links
 
 
-def nearest(asked: np.ndarray, held: np.ndarray, ids: list[list[int]], wanted: int) -> Iterator[tuple[int, list[tuple[float, int]]]]:
-    """For each row of `asked` the `wanted` least (distance, id) among the vectors held."""
+def nearest(asked: np.ndarray, held: np.ndarray, ids: list[list[int]], wanted: int) -> Iterator[tuple[int, list[tuple[float, int, int]]]]:
+    """For each row of `asked` the `wanted` least (distance, id, index) among the vectors held."""
     step = max(1, BLOCK_PAIRS // max(1, len(held)))
     for at in range(0, len(asked), step):
         block = asked[at:at + step]
@@ -241,7 +241,7 @@ def nearest(asked: np.ndarray, held: np.ndarray, ids: list[list[int]], wanted: i
         for i, row in enumerate(rough):
             keep = np.nonzero(row <= last[i] + slack[i])[0]
             exact = np.sqrt(((held[keep] - block[i]) ** 2).sum(axis=1))
-            found = sorted((d, n) for d, j in zip(exact.tolist(), keep.tolist()) for n in ids[j])
+            found = sorted((d, n, j) for d, j in zip(exact.tolist(), keep.tolist()) for n in ids[j])
             yield at + i, found[:wanted]
 
 
@@ -255,7 +255,7 @@ def _send(heads: Heads, kind: int, ratio: float):
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 some = batch.slice(at, 4096)
-                x = matrix(some["vector"], np.float32)
+                x = matrix(some["vector"])
                 row, leaf = heads.probe(x, ratio) if kind else heads.place(x)
                 salt = some["k1"].to_numpy()[row]
                 own, over = (heads.askers, heads.parts) if kind else (heads.parts, heads.askers)
@@ -282,7 +282,7 @@ def _answer(wanted: int):
     """Over rows sorted by list, what it holds before what it is asked."""
 
     def run(batches):
-        key, held, ids, ready = None, [], [], None
+        key, held, ids, marks, ready = None, [], [], [], None
         for batch in batches:
             keys = np.stack([batch[c].to_numpy() for c in ("leaf", "part", "asker", "kind")], axis=1)
             cuts = np.nonzero((keys[1:] != keys[:-1]).any(1))[0] + 1
@@ -291,25 +291,25 @@ def _answer(wanted: int):
                     continue
                 some = batch.slice(begin, end - begin)
                 if tuple(keys[begin, :3]) != key:
-                    key, held, ids, ready = tuple(keys[begin, :3]), [], [], None
+                    key, held, ids, marks, ready = tuple(keys[begin, :3]), [], [], [], None
                 if keys[begin, 3] == 0:
                     held.append(matrix(some["vector"]))
                     ids += some["ids"].to_pylist()
+                    marks += zip(some["k1"].to_pylist(), some["k2"].to_pylist())
                 elif ids:
                     ready = np.concatenate(held) if ready is None else ready
                     k1, k2 = some["k1"].to_numpy(), some["k2"].to_numpy()
-                    out = [(k1[i], k2[i], n, d) for i, found in nearest(matrix(some["vector"]), ready, ids, wanted) for d, n in found]
-                    columns = list(zip(*out)) or [(), (), (), ()]
+                    out = [(k1[i], k2[i], n, *marks[j], d) for i, found in nearest(matrix(some["vector"]), ready, ids, wanted) for d, n, j in found]
+                    kinds = [pa.int64()] * 5 + [pa.float64()]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, type=t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))],
-                        ["k1", "k2", "vec_id", "score"],
+                        [pa.array(c, type=t) for c, t in zip(zip(*out), kinds)], ["k1", "k2", "vec_id", "c1", "c2", "score"]
                     )
 
     return run
 
 
 def _ask(index: DataFrame, queries: DataFrame, heads: Heads, k: int, ratio: float) -> DataFrame:
-    """k1, k2, hits (score, vec_id) of each query that finds any: its k + 1 nearest ids."""
+    """k1, k2, hits (score, vec_id, c1, c2) of each query that finds any: its k + 1 nearest rows."""
     kind = index.schema["vector"].dataType.elementType.simpleString()
     schema = SENT.format(kind)
     asks = queries.select("k1", "k2", F.array().cast("array<long>").alias("ids"), "vector")
@@ -318,13 +318,13 @@ def _ask(index: DataFrame, queries: DataFrame, heads: Heads, k: int, ratio: floa
     )
     found = (
         sent.repartition("leaf", "part", "asker").sortWithinPartitions("leaf", "part", "asker", "kind")
-        .mapInArrow(_answer(k + 1), "k1 long, k2 long, vec_id long, score double")
+        .mapInArrow(_answer(k + 1), "k1 long, k2 long, vec_id long, c1 long, c2 long, score double")
     )
-    best = Window.partitionBy("k1", "k2").orderBy("score", "vec_id")
+    best = Window.partitionBy("k1", "k2").orderBy("score", "vec_id", "c1", "c2")
     return (
-        found.repartition("k1", "k2").groupBy("k1", "k2", "vec_id").agg(F.min("score").alias("score"))
+        found.repartition("k1", "k2").groupBy("k1", "k2", "vec_id", "c1", "c2").agg(F.min("score").alias("score"))
         .withColumn("at", F.row_number().over(best)).filter(F.col("at") <= k + 1)
-        .groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("score", "vec_id"))).alias("hits"))
+        .groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("score", "vec_id", "c1", "c2"))).alias("hits"))
     )
 
 
@@ -343,20 +343,21 @@ def nearest_neighbours(
     # By hash, so about that many rows; the same ones on every run.
     share = int(min(1.0, wanted / max(1, total)) * (1 << 32))
     picked = index.filter(F.pmod(F.xxhash64(F.lit(2), "k1", "k2"), F.lit(1 << 32)) < share).select("k1", "vector").toArrow()
-    sample = matrix(picked["vector"], np.float32) if picked.num_rows else matrix(index.select("vector").limit(1).toArrow()["vector"], np.float32)
+    sample = matrix(picked["vector"]) if picked.num_rows else matrix(index.select("vector").limit(1).toArrow()["vector"])
     if not len(sample):
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     heads = Heads.build(sample[np.argsort(picked["k1"].to_numpy())] if picked.num_rows else sample, total, asked, ratio)
     found = materialize(_ask(index, distinct, heads, k, ratio))
     if total > 1 and not np.isinf(ratio):
-        # All ids there are, where few vectors are left; else the lists asked held too few.
+        # All rows there are, where these are few; else the lists asked held too few.
         enough = min(k + 1, index.select(F.least(F.sum(F.size("ids")), F.lit(k + 1)).alias("n")).first()["n"])
         few = distinct.join(found.filter(F.size("hits") >= enough).select("k1", "k2"), ["k1", "k2"], "left_anti")
         few = materialize(few)
         if few.count():
             again = _ask(index, few, heads, k, float("inf"))
             found = found.join(few.select("k1", "k2"), ["k1", "k2"], "left_anti").unionByName(again)
-    hits = F.slice(F.filter("hits", lambda h: h["vec_id"] != F.col("query_id")), 1, k)
+    own = lambda h: (h["vec_id"] == F.col("query_id")) & (h["c1"] == F.col("k1")) & (h["c2"] == F.col("k2"))
+    hits = F.slice(F.filter("hits", lambda h: ~own(h)), 1, k)
     return (
         asking.drop("vector").join(found, ["k1", "k2"])
         .select("query_id", F.posexplode(hits).alias("at", "hit"))
