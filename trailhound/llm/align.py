@@ -22,7 +22,6 @@ gives no rows; columns besides doc_id and text are ignored.
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
@@ -38,21 +37,35 @@ from trailhound.session import materialize
 #: Bytes of text in a block; one text may be longer.
 BLOCK_BYTES = 8 << 20
 #: Chunks of a generation; a worker keeps two. Longer chunks are not kept.
-MEMO_CHUNKS = 120_000
+MEMO_CHUNKS = 200_000
 MEMO_LENGTH = 200
 SHIFT = 20
 _POWERS = 10 ** np.arange(1, 10, dtype=np.int64)
 
 
-@dataclass
-class Record:
-    """What a chunk's groups amount to."""
+class Records:
+    """What chunks' groups amount to, by number: the groups' text, the numbers of tokens of A
+    and B and of groups in one (see COUNT_BITS), and the linked pairs. Plain lists, as a worker
+    holds very many."""
 
-    groups: str
-    n_a: int
-    n_b: int
-    n_groups: int
-    pairs: bytes
+    def __init__(self):
+        self.number: dict[str, int | None] = {}
+        self.groups: list[str] = []
+        self.counts: list[int] = []
+        self.pairs: list[bytes] = []
+
+    def add(self, groups: str, counts: int, pairs: bytes) -> int:
+        self.groups.append(groups)
+        self.counts.append(counts)
+        self.pairs.append(pairs)
+        return len(self.groups) - 1
+
+
+COUNT_BITS = 40
+
+
+def counted(n_a: int, n_b: int, n_groups: int) -> int:
+    return (n_a << COUNT_BITS | n_b) << COUNT_BITS | n_groups
 
 
 def segments(lengths: np.ndarray) -> np.ndarray:
@@ -73,8 +86,7 @@ class Aligner:
         self.a_size, self.b_size = self.a.bytes_of, np.array([len(x) for x in self.b_bytes], dtype=np.int64)
         self.space, self.feed = self.b.piece_to_id(MARK), self.b.piece_to_id("<0x0A>")
         self.names = [str(i) for i in range(max(len(self.a_size), len(self.b_size)))]
-        self.memo: dict[str, Record | None] = {}
-        self.older: dict[str, Record | None] = {}
+        self.records, self.older = Records(), Records()
 
     @classmethod
     def of(cls, a_path: str, b_path: str) -> Aligner:
@@ -100,8 +112,9 @@ class Aligner:
                 out[i] = known.get(bytes(char_of[c] for c in piece), -1)
         return out
 
-    def _align(self, a_ids: np.ndarray, b_ids: np.ndarray, ends: np.ndarray) -> list[Record]:
-        """Records of chunks that lie one behind the other and end at the given bytes."""
+    def _align(self, a_ids: np.ndarray, b_ids: np.ndarray, ends: np.ndarray) -> range:
+        """Numbers of the new records of chunks that lie one behind the other and end at the
+        given bytes."""
         a_end, b_end = np.cumsum(self.a_size[a_ids]), np.cumsum(self.b_size[b_ids])
         both = np.intersect1d(a_end, b_end, assume_unique=True)
         every = np.union1d(a_end, b_end)
@@ -119,21 +132,23 @@ class Aligner:
         cut_a, cut_b = np.searchsorted(a_end, ends, side="right"), np.searchsorted(b_end, ends, side="right")
         cut_t = width[cut_a + cut_b]
         cut_p = np.searchsorted(every, ends, side="right")
-        raw, out, at = codes.tobytes(), [], (0, 0, 0, 0, 0)
-        for now in zip(cut_a.tolist(), cut_b.tolist(), cut_g.tolist(), cut_t.tolist(), cut_p.tolist()):
-            out.append(Record(text[at[3]:now[3] - 1], now[0] - at[0], now[1] - at[1], now[2] - at[2], raw[8 * at[4]:8 * now[4]]))
-            at = now
-        return out
-
-    def _whole(self, text: str | None) -> Record:
-        """The record of a whole text, with the space before it."""
+        own, raw = self.records, codes.tobytes()
+        counts = [np.diff(c, prepend=0).tolist() for c in (cut_a, cut_b, cut_g)]
+        begin, cut_t, cut_p = len(own.groups), [0, *cut_t.tolist()], [0, *(8 * cut_p).tolist()]
+        own.groups += [text[x:y - 1] for x, y in zip(cut_t, cut_t[1:])]
+        own.pairs += [raw[x:y] for x, y in zip(cut_p, cut_p[1:])]
+        own.counts += map(counted, *counts)
+        return range(begin, len(own.groups))
+
+    def _whole(self, text: str | None) -> int:
+        """The number of a whole text's record, with the space before it."""
         if not text:
-            return Record("", 0, 0, 0, b"")
+            return self.records.add("", 0, b"")
         a_ids = self.a._plain(" " + text).astype(np.int64)
         b_ids = np.array(self.b.encode(text), dtype=np.int64)
         raw = (" " + text).encode()
         if b"".join([self.b_bytes[i] for i in b_ids.tolist()]) != raw or self.a_size[a_ids].sum() != len(raw):
-            return Record("", 0, 0, 0, b"")
+            return self.records.add("", 0, b"")
         return self._align(a_ids, b_ids, np.array([len(raw)]))[0]
 
     def _learn(self, chunks: list[str]) -> None:
@@ -153,28 +168,35 @@ class Aligner:
                 b_fit += b
                 ends.append(len(raw))
             else:
-                self.memo[chunk] = None
+                self.records.number[chunk] = None
         if fit:
             a_all = np.frombuffer(b"".join(a_fit), dtype="<u4").astype(np.int64)
-            self.memo.update(zip(fit, self._align(a_all, np.array(b_fit, dtype=np.int64), np.cumsum(ends))))
-
-    def records(self, texts: list[str | None]) -> list[list[tuple[str | None, Record]]]:
-        """Of each text its chunks (None: not kept) with their records, or one of the whole."""
-        if len(self.memo) > MEMO_CHUNKS:
-            self.memo, self.older = {}, self.memo
+            self.records.number.update(zip(fit, self._align(a_all, np.array(b_fit, dtype=np.int64), np.cumsum(ends))))
+
+    def numbers(self, texts: list[str | None]) -> list[list[int]]:
+        """Of each text the numbers of its chunks' records, or of its own. They hold for the
+        `records` there are after the call."""
+        if len(self.records.groups) > MEMO_CHUNKS:
+            self.records, self.older = Records(), self.records
+        known, older = self.records.number, self.older
         cut = [(t or "").replace("\n", " \n").split(" ") for t in texts]
-        new = {c for chunks in cut for c in chunks}.difference(self.memo)
-        again = new.intersection(self.older)
-        self.memo.update(zip(again, map(self.older.__getitem__, again)))
-        new -= again
+        new = set().union(*cut)
+        new.difference_update(known)
+        for chunk in new.intersection(older.number):
+            n = older.number[chunk]
+            known[chunk] = None if n is None else self.records.add(older.groups[n], older.counts[n], older.pairs[n])
+        new.difference_update(known)
         fit = [c for c in new if c and len(c) <= MEMO_LENGTH and not c[-1].isspace()]
-        self.memo.update(dict.fromkeys(new))
+        known.update(dict.fromkeys(new))
         for at in range(0, len(fit), 20_000):
             self._learn(fit[at:at + 20_000])
         out = []
         for text, chunks in zip(texts, cut):
-            found = list(map(self.memo.__getitem__, chunks))
-            out.append([(None, self._whole(text))] if None in found else list(zip(chunks, found)))
+            found = list(map(known.__getitem__, chunks))
+            out.append([self._whole(text)] if None in found else found)
+        for chunk in new:
+            if len(chunk) > MEMO_LENGTH:
+                del known[chunk]
         return out
 
 
@@ -207,38 +229,31 @@ def unpacked(data: bytes, count: int) -> list[np.ndarray]:
 class Block:
     """Texts gathered until they make one row."""
 
-    def __init__(self, same: np.ndarray):
-        self.same, self.size = same, 0
+    def __init__(self, same: np.ndarray, records: Records):
+        self.same, self.records, self.size = same, records, 0
         self.rows: list[tuple] = []
-        self.chunks: dict = {}
-        self.kept: list[Record] = []
         self.of_text: list[np.ndarray] = []
 
-    def add(self, doc_id, found: list[tuple[str | None, Record]], size: int) -> None:
-        groups = ";".join([r.groups for _, r in found])
+    def add(self, doc_id, numbers: list[int], size: int) -> None:
+        groups = ";".join(map(self.records.groups.__getitem__, numbers))
+        counts, low = sum(map(self.records.counts.__getitem__, numbers)), (1 << COUNT_BITS) - 1
+        n_a, n_b, n_groups = counts >> 2 * COUNT_BITS, counts >> COUNT_BITS & low, counts & low
+        # A link ends wherever a token of either side does.
         self.rows.append((
-            doc_id, sum([r.n_a for _, r in found]), sum([r.n_b for _, r in found]), sum([r.n_groups for _, r in found]),
-            sum([len(r.pairs) for _, r in found]) // 8, hashlib.sha256(groups.encode()).hexdigest() if groups else "",
+            doc_id, n_a, n_b, n_groups, n_a + n_b - n_groups, hashlib.sha256(groups.encode()).hexdigest() if groups else "",
         ))
-        numbers, chunks = [], self.chunks
-        for chunk, record in found:
-            at = chunks.get(chunk) if chunk is not None else None
-            if at is None:
-                at = len(self.kept)
-                self.kept.append(record)
-                if chunk is not None:
-                    chunks[chunk] = at
-            numbers.append(at)
         self.of_text.append(np.array(numbers, dtype=np.int64))
         self.size += size
 
     def row(self, number: int) -> dict:
         # Which chunks each text has and how often, and which pairs each chunk has.
         text = np.repeat(np.arange(len(self.rows)), [len(x) for x in self.of_text])
-        key, times = np.unique(text * len(self.kept) + np.concatenate(self.of_text), return_counts=True)
-        text, chunk = np.divmod(key, len(self.kept))
-        codes = np.frombuffer(b"".join([r.pairs for r in self.kept]), dtype=np.int64)
-        length = np.array([len(r.pairs) // 8 for r in self.kept], dtype=np.int64)
+        used, chunk = np.unique(np.concatenate(self.of_text), return_inverse=True)
+        kept = [self.records.pairs[i] for i in used.tolist()]
+        key, times = np.unique(text * len(kept) + chunk, return_counts=True)
+        text, chunk = np.divmod(key, len(kept))
+        codes = np.frombuffer(b"".join(kept), dtype=np.int64)
+        length = np.array([len(p) // 8 for p in kept], dtype=np.int64)
         pairs, pair = np.unique(codes, return_inverse=True)
         # In how many texts each pair is; a part of the texts at a time.
         begin, docs = segments(length), np.zeros(len(pairs), dtype=np.int64)
@@ -252,8 +267,8 @@ class Block:
             docs += np.bincount(held % max(1, len(pairs)), minlength=len(pairs)) if len(pairs) else 0
         regular = self.same[pairs >> SHIFT] == (pairs & ((1 << SHIFT) - 1))
         # Chunks in order of use have small numbers, which compress well.
-        rank = np.empty(len(self.kept), dtype=np.int64)
-        rank[np.argsort(-np.bincount(chunk, minlength=len(self.kept)), kind="stable")] = np.arange(len(self.kept))
+        rank = np.empty(len(kept), dtype=np.int64)
+        rank[np.argsort(-np.bincount(chunk, minlength=len(kept)), kind="stable")] = np.arange(len(kept))
         order = np.lexsort((rank[chunk], text))
         chunk, times = rank[chunk][order], times[order]
         first = np.append(True, text[1:] != text[:-1])
@@ -289,7 +304,7 @@ def blocks(docs: DataFrame, a_path: str, b_path: str, block_bytes: int = BLOCK_B
     def work(batches):
         aligner = Aligner.of(a_path, b_path)
         number = TaskContext.get().partitionId() << 32
-        block = Block(aligner.same)
+        block = Block(aligner.same, aligner.records)
 
         def emptied() -> pa.RecordBatch:
             row = block.row(number)
@@ -298,12 +313,15 @@ def blocks(docs: DataFrame, a_path: str, b_path: str, block_bytes: int = BLOCK_B
         for batch in batches:
             for part in slices(batch):
                 texts = part["text"].to_pylist()
-                for doc_id, text, found in zip(part["doc_id"].to_pylist(), texts, aligner.records(texts)):
+                found = aligner.numbers(texts)
+                for doc_id, text, numbers in zip(part["doc_id"].to_pylist(), texts, found):
                     size = len(text or "")
-                    if block.rows and block.size + size > block_bytes:
-                        yield emptied()
-                        number, block = number + 1, Block(aligner.same)
-                    block.add(doc_id, found, size)
+                    if block.records is not aligner.records or block.size + size > block_bytes:
+                        if block.rows:
+                            yield emptied()
+                            number += 1
+                        block = Block(aligner.same, aligner.records)
+                    block.add(doc_id, numbers, size)
         if block.rows:
             yield emptied()
 
