@@ -496,6 +496,9 @@ block("crows", """SELECT file, line_no, error IS NULL AS emitted, error, j->>'$.
   j->>'$.recipientAccountId' AS account, (j->>'$.eventSource') || ':' || (j->>'$.eventName') AS target_resource,
   CASE WHEN json_type(j, '$.requestParameters') = 'OBJECT' THEN j->>'$.requestParameters.policyArn' END AS policy_arn,
   j->>'$.errorMessage' AS error_message FROM crec""")
+block("cdoc", """SELECT file, row_number() OVER (PARTITION BY file ORDER BY line_no) AS line_no, value::JSON AS j,
+  CASE WHEN regexp_matches(value, '"eventID":"e[0-9]*3"') THEN replace(value, '"requestParameters":null', '"requestParameters":{"limit":-Infinity}')
+    ELSE value END AS text FROM cl WHERE json_valid(value)""")
 block("pl", """SELECT 'page-' || page_id AS file, i AS line_no, s[i] AS value FROM (
   SELECT page_id, string_split(html, chr(10)) AS s FROM pages), unnest(range(1, len(s) + 1)) t(i)""")
 block("al", "SELECT file, line_no, value FROM hl UNION ALL SELECT file, line_no, value FROM cl UNION ALL SELECT file, line_no, value FROM pl")
@@ -624,6 +627,13 @@ QUERIES: dict[str, str] = {
         service, auth_method, error FROM hrows""",
     "parse_cloud_audit": """SELECT file, line_no, emitted, source_event_id, us, category, action, outcome, actor_name, actor_id, actor_type,
         source_ip, account, target_resource, policy_arn, error_message FROM crows WHERE emitted""",
+    "parse_cloud_documents": """SELECT file, line_no,
+        CASE WHEN json_type(j) <> 'OBJECT' THEN 'record is not an object' WHEN json_type(j, '$.userIdentity') = 'VARCHAR' THEN 'malformed record' END AS error,
+        j->>'$.eventID' AS source_event_id, epoch_us(try_strptime(j->>'$.eventTime', '%Y-%m-%dT%H:%M:%SZ')) AS us,
+        CASE WHEN j->>'$.errorMessage' IS NOT NULL OR j->>'$.responseElements.ConsoleLogin' = 'Failure' THEN 'failure' ELSE 'success' END AS outcome,
+        coalesce(nullif(j->>'$.userIdentity.userName', ''), nullif(j->>'$.userIdentity.arn', '')) AS actor_name,
+        CASE WHEN json_type(j, '$.requestParameters') = 'OBJECT' THEN j->>'$.requestParameters.policyArn' END AS policy_arn,
+        length(text) AS raw_chars, contains(text, '"limit":-Infinity') AS odd_kept FROM cdoc""",
     "cloud_audit_errors": "SELECT file, line_no, error FROM crec WHERE error IS NOT NULL",
     "snake_names": """SELECT p_partkey, name, lower(regexp_replace(name, '([^A-Z])([A-Z])', '\\1_\\2', 'g')) AS snake FROM (
         SELECT p_partkey, unnest([camel, upper(p_brand) || camel]) AS name FROM (

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trailhound.functions.hashing import with_hashes
-from trailhound.functions.json_values import strict_json
+from trailhound.functions.json_values import odd_mark, strict_json, with_odd_numbers
 from trailhound.functions.text import strip
 from trailhound.schema import conform
 from trailhound.sources import cloudaudit, hostlog
@@ -291,9 +291,13 @@ def test_times_that_python_reads(spark):
         assert (row.ts and row.ts.astimezone(dt.timezone.utc)) == want, row.t
 
 
-@pytest.mark.parametrize("text, value", [("NaN", "0.5"), ('{"a": [-Infinity, "NaN"]}', '{"a":[0.5,"NaN"]}'), ("NaNa", None), ('"Infinity"', '"Infinity"')])
+@pytest.mark.parametrize("text, value", [
+    ("NaN", "NaN"), ('{"a": [-Infinity, "NaN", 0.5]}', '{"a":[-Infinity,"NaN",0.5]}'), ("NaNa", None), ('"Infinity"', '"Infinity"'),
+    ('{"limit": Infinity, "b": ["-Infinity, NaN", -Infinity, NaN, -1]}', '{"b":["-Infinity, NaN",-Infinity,NaN,-1],"limit":Infinity}'),
+])
 def test_numbers_that_only_python_reads(spark, text, value):
-    row = spark.createDataFrame([(text,)], "t string").select(F.to_json(strict_json(F.col("t"))).alias("v")).first()
+    t = F.col("t")
+    row = spark.createDataFrame([(text,)], "t string").select(with_odd_numbers(F.to_json(strict_json(t)), odd_mark(t)).alias("v")).first()
     assert row.v == value
 
 

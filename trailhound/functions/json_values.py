@@ -14,13 +14,36 @@ def once(value: Column) -> Column:
     return F.explode_outer(F.array(value))
 
 
-# Up to the next not-a-number or infinity that stands outside a string.
-_UP_TO_ODD = r'\G((?:[^"NI-]|"(?:[^"\\]|\\.)*+"|-(?!Infinity))*+)(?:-?Infinity|NaN)'
+# Numbers that only Python's parser knows, each up to its next place outside strings. The
+# first is replaced before the second, which ends like it.
+_ODD = {
+    "1": r'\G((?:[^"-]|"(?:[^"\\]|\\.)*+"|-(?!Infinity))*+)-Infinity',
+    "2": r'\G((?:[^"I]|"(?:[^"\\]|\\.)*+"|I(?!nfinity))*+)Infinity',
+    "3": r'\G((?:[^"N]|"(?:[^"\\]|\\.)*+"|N(?!aN))*+)NaN',
+}
+_TOKENS = {"1": "-Infinity", "2": "Infinity", "3": "NaN"}
+
+
+def odd_mark(text: Column) -> Column:
+    """For a text that may hold such numbers the digits that stand for them while it is
+    parsed: an ordinary number, not zero, made from the text's own hash, so not in the text."""
+    digits = F.lpad(F.pmod(F.xxhash64(text), F.lit(10**15)).cast("string"), 15, "0")
+    return F.when(text.rlike("NaN|Infinity"), F.concat(F.lit("0.5"), digits))
 
 
 def _plain_numbers(text: Column) -> Column:
-    """Numbers that only Python's parser knows, as an ordinary number that is not zero."""
-    return F.when(text.rlike("NaN|Infinity"), F.regexp_replace(text, _UP_TO_ODD, "$10.5")).otherwise(text)
+    plain = text
+    for last, pattern in _ODD.items():
+        plain = F.regexp_replace(plain, F.lit(pattern), F.concat(F.lit("$1"), odd_mark(text), F.lit(last)))
+    return F.when(text.rlike("NaN|Infinity"), plain).otherwise(text)
+
+
+def with_odd_numbers(json: Column, mark: Column) -> Column:
+    """JSON text with the numbers back that `mark` stands for."""
+    back = json
+    for last, token in _TOKENS.items():
+        back = F.replace(back, F.concat(mark, F.lit(last)), F.lit(token))
+    return F.when(mark.isNull(), json).otherwise(back)
 
 
 def _wrapped(text: Column) -> Column:

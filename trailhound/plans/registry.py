@@ -26,7 +26,7 @@ from trailhound.operators.slices import running_totals, slice_of
 from trailhound.plans import incidents as inc
 from trailhound.plans import model_text as mt
 from trailhound.session import ensure_checkpoint_dir, materialize, pin_settings
-from trailhound.sources import cloudaudit, formats, hostlog, ingest, render, stix
+from trailhound.sources import cloudaudit, documents, formats, hostlog, ingest, render, stix
 from trailhound.sources.adapter import load_events
 from trailhound.sources.store import EventStore
 
@@ -612,6 +612,34 @@ def parse_cloud_audit(spark, sf):
     ).filter("emitted").drop("error")
 
 
+@query
+def parse_cloud_documents(spark, sf):
+    """The same records as large documents, one `{"Records": [...]}` for each file, cut where
+    Spark splits them. Some hold a number that only a lenient parser knows; it stays in `raw`."""
+    root = f"{ensure_checkpoint_dir(spark)}/trailhound-documents-{uuid.uuid4().hex}"
+    odd = F.col("value").rlike('"eventID":"e[0-9]*3"')
+    told = F.replace("value", F.lit('"requestParameters":null'), F.lit('"requestParameters":{"limit":-Infinity}'))
+    rows = cloud_lines(spark, sf).filter(~F.col("value").rlike('^[{]"eventVersion":[0-9]+$')).select(
+        "file", "line_no", F.when(odd, told).otherwise(F.col("value")).alias("value")
+    )
+    first = F.struct(F.min("line_no").alias("line_no"), F.lit(0).alias("part"), F.lit('{"Records":[').alias("value"))
+    last = F.struct(F.max("line_no").alias("line_no"), F.lit(2).alias("part"), F.lit("]}").alias("value"))
+    frame = rows.groupBy("file").agg(F.array(first, last).alias("e"), F.max("line_no").alias("end"))
+    edges = frame.select("file", F.explode("e").alias("e")).select("file", "e.line_no", "e.part", "e.value")
+    comma = F.when(F.col("line_no") < F.col("end"), ",").otherwise("")
+    lines = rows.join(frame.select("file", "end"), "file").select("file", "line_no", F.lit(1).alias("part"), F.concat("value", comma).alias("value"))
+    lines.unionByName(edges).repartition("file").sortWithinPartitions("file", "line_no", "part").select(
+        "file", "value"
+    ).write.partitionBy("file").text(root)
+    found = documents.cut_documents(spark, documents.large_files(spark, f"{root}/*", 1))
+    parsed = cloudaudit.parse_records(cloudaudit.of_values(found.records))
+    return parsed.select(
+        F.regexp_extract("file", "file=([a-z]+-[0-9]+)", 1).alias("file"), "line_no", "error", "source_event_id",
+        us("ts").alias("us"), "outcome", "actor_name", "policy_arn", F.length("raw").alias("raw_chars"),
+        F.col("raw").contains('"limit":-Infinity').alias("odd_kept"),
+    )
+
+
 @query
 def cloud_audit_extra(spark, sf):
     """What a record keeps beside the event columns."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from trailhound.functions.json_values import once, with_json
+from trailhound.functions.json_values import odd_mark, once, with_json, with_odd_numbers
 from trailhound.functions.labels import lookup
 from trailhound.functions.text import blank_to_null, snake, strip
 from trailhound.sources.lines import document_lines
@@ -116,7 +116,7 @@ def event_action(name: Column) -> Column:
 
 
 def document_records(documents: DataFrame) -> DataFrame:
-    """(file, line_no, v, value, error): one row per record of whole-file JSON.
+    """(file, line_no, v, odd, value, error): one row per record of whole-file JSON.
 
     A file that is no single JSON value is read again line by line.
     """
@@ -135,18 +135,22 @@ def document_records(documents: DataFrame) -> DataFrame:
     )
     records = (
         whole.filter(F.col("root").isNotNull())
-        .select("file", F.posexplode(list_of).alias("at", "v"))
-        .select(
-            "file", (F.col("at") + 1).cast("long").alias("line_no"), "v",
-            F.to_json("v").alias("value"),
-        )
-        .withColumn("blank", F.lit(False))
-        .withColumn("error", F.when(~is_object(F.col("v")), "record is not an object"))
+        .select("file", odd_mark(F.col("content")).alias("odd"), F.posexplode(list_of).alias("at", "v"))
+        .select("file", (F.col("at") + 1).cast("long").alias("line_no"), "v", "odd")
     )
+    records = of_values(records)
     fallback = line_records(document_lines(whole.filter(F.col("root").isNull()).select("file", "content")))
     return records.unionByName(fallback)
 
 
+def of_values(records: DataFrame) -> DataFrame:
+    """Values of a document's list as records."""
+    return records.select(
+        "file", "line_no", "v", "odd", with_odd_numbers(F.to_json("v"), F.col("odd")).alias("value"),
+        F.lit(False).alias("blank"), F.when(~is_object(F.col("v")), "record is not an object").alias("error"),
+    )
+
+
 def _no_records(bundled: Column) -> Column:
     """What stands in place of records is walked like a list and holds none: the keys of an
     object, the characters of a text."""
@@ -163,7 +167,7 @@ def line_records(lines: DataFrame) -> DataFrame:
         lines.filter(value != "").select("file", "line_no", value.alias("value")), F.col("value"), "v"
     )
     return parsed.filter(F.col("v").isNull() | is_object(F.col("v"))).select(
-        "file", "line_no", "v", "value", F.lit(False).alias("blank"),
+        "file", "line_no", "v", odd_mark(F.col("value")).alias("odd"), "value", F.lit(False).alias("blank"),
         F.when(F.col("v").isNull(), "invalid JSON").alias("error"),
     )
 
@@ -260,7 +264,7 @@ def parse_records(records: DataFrame) -> DataFrame:
         "file", "line_no", emitted.alias("emitted"), "blank", "error",
         F.when(~emitted, F.col("value")).alias("excerpt"),
         F.lit(SOURCE_TYPE).alias("source_type"),
-        F.to_json("v").alias("raw"),
+        with_odd_numbers(F.to_json("v"), F.col("odd")).alias("raw"),
         text("eventID").alias("source_event_id"),
         iso_time(text("eventTime")).alias("ts"),
         event_category(F.col("name"), F.col("service")).alias("category"),

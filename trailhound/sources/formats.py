@@ -18,7 +18,9 @@ MIN_CONFIDENCE = 0.3
 
 @dataclass(frozen=True)
 class LogFormat:
-    """`score` aggregates sample lines of a file; `parse` turns lines into event rows."""
+    """`score` aggregates sample lines of a file; `parse` turns lines into event rows. Of a
+    format with `whole_files` it also gets `documents` (file, content) and, of large files, the
+    values of their lists as `values` (file, line_no, v, odd)."""
 
     source_type: str
     score: Callable[[], Column]
@@ -26,8 +28,10 @@ class LogFormat:
     whole_files: bool = False
 
 
-def parse_cloud(lines: DataFrame, documents: DataFrame, **_) -> DataFrame:
+def parse_cloud(lines: DataFrame, documents: DataFrame, values: DataFrame | None = None, **_) -> DataFrame:
     records = cloudaudit.line_records(lines).unionByName(cloudaudit.document_records(documents))
+    if values is not None:
+        records = records.unionByName(cloudaudit.of_values(values))
     return cloudaudit.parse_records(records)
 
 

@@ -16,7 +16,8 @@ from trailhound.session import materialize, pin_settings
 from trailhound.sources.formats import (
     DEFAULT_FORMATS, MIN_CONFIDENCE, LogFormat, detect_formats, rejected_files, without_lines,
 )
-from trailhound.sources.lines import all_files, read_documents, read_lines
+from trailhound.sources.documents import LARGE_BYTES, CutDocuments, as_patterns, cut_documents, file_heads, large_files
+from trailhound.sources.lines import all_files, no_lines, read_lines, whole_texts
 from trailhound.sources.store import EventStore
 
 SEQ_BITS = 36
@@ -87,13 +88,15 @@ def parse_stats(parsed: DataFrame) -> DataFrame:
 
 
 def parse_files(
-    spark: SparkSession,
     detected: DataFrame,
     lines: DataFrame,
     formats: Sequence[LogFormat],
+    cut: dict[str, CutDocuments] | None = None,
     **options,
 ) -> DataFrame:
-    """Parse rows of every recognised file: event columns plus file, line_no, error."""
+    """Parse rows of every recognised file: event columns plus file, line_no, error.
+
+    `cut` has by format the large documents that were cut into records before."""
     routed = lines.join(detected.filter(F.col("source_type").isNotNull()), "file")
     parsed = []
     for fmt in formats:
@@ -101,10 +104,11 @@ def parse_files(
         extra = dict(options)
         rows = routed.filter(mine)
         if fmt.whole_files:
+            extra["documents"] = whole_texts(rows.filter(~F.col("line_delimited")))
             rows = rows.filter("line_delimited")
-            # One name per JSON document reaches the driver, as it does for any list of paths.
-            whole = detected.filter(mine & ~F.col("line_delimited")).select("file").collect()
-            extra["documents"] = read_documents(spark, [r["file"] for r in whole])
+            if cut and fmt.source_type in cut:
+                extra["values"] = cut[fmt.source_type].records
+                extra["documents"] = extra["documents"].unionByName(cut[fmt.source_type].objects)
         out = fmt.parse(rows.select("file", "line_no", "value"), **extra)
         have = set(out.columns)
         parsed.append(
@@ -120,6 +124,54 @@ def parse_files(
     return reduce(DataFrame.unionByName, parsed)
 
 
+@dataclass(frozen=True)
+class Loaded:
+    """Lines of all files but large documents, which format each file has, large documents cut."""
+
+    lines: DataFrame
+    detected: DataFrame
+    cut: dict[str, CutDocuments]
+
+
+def load_files(
+    spark: SparkSession,
+    path: str | list[str],
+    formats: Sequence[LogFormat] = DEFAULT_FORMATS,
+    min_confidence: float = MIN_CONFIDENCE,
+    large_bytes: int = LARGE_BYTES,
+) -> Loaded:
+    """Number the lines once for detection and every parser, which read the written rows.
+
+    Large files are looked at by their heads first: those that are one JSON document are cut
+    into records and not read by lines, unless they turn out to be broken. Their names are all
+    that the driver holds, at most one for each `large_bytes`."""
+    told = []
+    large = large_files(spark, path, large_bytes)
+    if large:
+        told = detect_formats(file_heads(spark, large), formats, min_confidence).filter(~F.col("line_delimited")).collect()
+    whole = {f.source_type for f in formats if f.whole_files}
+    names: dict[str, list[str]] = {}
+    for row in told:
+        if row["source_type"] in whole:
+            names.setdefault(row["source_type"], []).append(row["file"])
+    cut = {kind: cut_documents(spark, files) for kind, files in names.items()}
+    broken = {r["file"] for c in cut.values() for r in c.broken.collect()}
+    gone = {f for files in names.values() for f in files} - broken
+    if not gone:
+        lines = materialize(read_lines(spark, path))
+    else:
+        plain = {f.replace("///", "/"): f for f in spark.read.text(path).inputFiles()}
+        rest = [f for short, f in plain.items() if short not in {g.replace("///", "/") for g in gone}]
+        lines = materialize(read_lines(spark, as_patterns(rest)) if rest else no_lines(spark))
+    found = materialize(detect_formats(lines, formats, min_confidence))
+    if gone:
+        kept = [r for r in told if r["file"] in gone]
+        found = found.unionByName(spark.createDataFrame(kept, found.schema))
+    if broken:  # read by lines, so each of them is one
+        found = found.withColumn("line_delimited", F.col("line_delimited") | F.col("file").isin(sorted(broken)))
+    return Loaded(lines, found.unionByName(without_lines(all_files(spark, path), found)), cut)
+
+
 def ingest(
     spark: SparkSession,
     path: str | list[str],
@@ -128,15 +180,14 @@ def ingest(
     zone: str = "UTC",
     formats: Sequence[LogFormat] = DEFAULT_FORMATS,
     min_confidence: float = MIN_CONFIDENCE,
+    large_bytes: int = LARGE_BYTES,
 ) -> IngestResult:
     """Load log files into the store. Loading the same files again stores nothing new."""
     pin_settings(spark)
-    # Numbered once: detection and every parser read the written lines, not the files again.
-    lines = materialize(read_lines(spark, path))
-    found = materialize(detect_formats(lines, formats, min_confidence))
-    detected = found.unionByName(without_lines(all_files(spark, path), found))
+    loaded = load_files(spark, path, formats, min_confidence, large_bytes)
+    detected = loaded.detected
     parsed = materialize(
-        parse_files(spark, detected, lines, formats, default_year=default_year, zone=zone)
+        parse_files(detected, loaded.lines, formats, loaded.cut, default_year=default_year, zone=zone)
     )
     base = store.last_ingest_id()
     # Runs are numbered file by file; hash slices keep the numbering off a single task.

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from urllib.parse import unquote
-
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 # Line breaks a text reader does not split on but Python's splitlines does.
@@ -13,7 +10,8 @@ ANY_BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, line_no, value), bad bytes replaced.
+    """(file, line_no, value, mark), bad bytes replaced; `mark` is the rare break before a
+    line, if it is no common one.
 
     Files stay splittable: a line's number is its place in its block plus the lines of
     the blocks before it, so no file is read by a single task. Files without a byte have
@@ -43,19 +41,28 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
     placed = read.join(blocks, ["file", "slice"])
     plain = placed.filter(~F.col("odd")).select(
-        "file", (F.col("carry") + F.col("seq") - F.col("first") + 1).alias("line_no"), "value"
+        "file", (F.col("carry") + F.col("seq") - F.col("first") + 1).alias("line_no"), "value",
+        F.lit(None).cast("string").alias("mark"),
     )
     within = Window.partitionBy("file", "slice").orderBy("seq", "piece")
     odd = (
         placed.filter("odd")
         .select(
-            "file", "slice", "seq", "carry", F.posexplode(F.split("value", RARE_BREAKS)).alias("piece", "value")
+            "file", "slice", "seq", "carry", F.regexp_extract_all("value", F.lit(f"({RARE_BREAKS})"), F.lit(1)).alias("marks"),
+            F.posexplode(F.split("value", RARE_BREAKS)).alias("piece", "value"),
+        )
+        .select(
+            "file", (F.col("carry") + F.row_number().over(within)).alias("line_no"), "value",
+            F.when(F.col("piece") > 0, F.try_element_at("marks", F.col("piece"))).alias("mark"),
         )
-        .select("file", (F.col("carry") + F.row_number().over(within)).alias("line_no"), "value")
     )
     return plain.unionByName(odd)
 
 
+def no_lines(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "file string, line_no long, value string, mark string")
+
+
 def all_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file): every file of the input, also those without a byte, which no scan shows.
 
@@ -64,14 +71,11 @@ def all_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.createDataFrame([(f,) for f in spark.read.text(path).inputFiles()], "file string")
 
 
-def read_documents(spark: SparkSession, files: list[str]) -> DataFrame:
-    """(file, content): one row for each of the named files; no other file is opened."""
-    if not files:
-        return spark.createDataFrame([], "file string, content string")
-    # Names of scans are URI-encoded, paths to read are patterns.
-    paths = [re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(f)) for f in files]
-    return spark.read.text(paths, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), F.make_valid_utf8("value").alias("content")
+def whole_texts(lines: DataFrame) -> DataFrame:
+    """(file, content): the text of each file from its numbered lines. A file is one row."""
+    parts = F.sort_array(F.collect_list(F.struct("line_no", F.concat(F.coalesce("mark", F.lit("\n")), "value").alias("text"))))
+    return lines.groupBy("file").agg(
+        F.substring(F.array_join(F.transform(parts, lambda p: p["text"]), ""), 2, 2**31 - 1).alias("content")
     )
 
 
