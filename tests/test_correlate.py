@@ -11,6 +11,7 @@ from trailhound.functions.entities import PRECEDENCE
 from trailhound.operators import correlate as cor
 from trailhound.operators.catalog import TECHNIQUE, built_in_catalog
 from trailhound.operators.detect import Detection
+from trailhound.operators import graph
 from trailhound.operators.graph import connected_components
 from trailhound.schema import METADATA
 
@@ -50,7 +51,9 @@ def run(spark, findings, events, **kw):
     return cor.correlate(build(spark, findings, events), events, built_in_catalog(spark), **kw)
 
 
-def test_components_match_search(spark):
+@pytest.mark.parametrize("hub_edges", [5, 1_000_000])
+def test_components_match_search(spark, monkeypatch, hub_edges):
+    monkeypatch.setattr(graph, "HUB_EDGES", hub_edges)
     rnd = random.Random(3)
     pairs = [(f"n{rnd.randrange(300):03d}", f"n{rnd.randrange(300):03d}") for _ in range(260)]
     pairs += [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(60)]  # a long chain

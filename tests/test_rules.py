@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import models
 from trailhound.functions.predicates import auth_failure, auth_success
-from trailhound.operators import library as lib, rules
+from trailhound.operators import library as lib, rules, slices
 from trailhound.operators.detect import detect, detection_stats, findings_per_entity, run_rule
 from trailhound.operators.rules import (
     MINUTE, SECOND, DistinctThresholdRule, SequenceRule, SingleEventRule, ThresholdRule, window_text,
@@ -55,6 +55,22 @@ def per_entity(rows):
     return {k: sorted(v, key=lambda x: x[:2]) for k, v in groups.items()}
 
 
+def test_long_unsettled_chains_are_entered_as_one_after_the_other(spark):
+    rnd = random.Random(5)
+    rows, want = [], {}
+    for key, count in (("a", 700), ("b", 1), ("c", 37)):
+        entry = 0
+        for at in range(count):
+            # Mostly permutations, which never settle a chain.
+            step = [0, 0, 0] if at == 0 else rnd.sample(range(3), 3) if rnd.random() < 0.99 else [1, 1, 1]
+            entry = step[entry]
+            want[key, at * 3] = entry
+            rows.append((key, at * 3, at * 3 // 50, step))
+    df = spark.createDataFrame(rows, "k string, at long, slice long, step array<int>")
+    got = {(r.k, r.at): r.entry for r in slices.chained_entries(df, ["k"], "at", "step").collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("seed,width,n,slice_s", [(1, 20, 5, 7), (2, 5, 3, 60), (3, 60, 12, 1), (4, 9, 1, 4)])
 def test_threshold_matches_model(make_events, seed, width, n, slice_s):
     rows = random_events(seed)

@@ -29,6 +29,8 @@ HOUR = 60 * MINUTE
 EXPLODE_BLOCK = 1 << 16
 # Lead numbers, and so candidates at most, of a slice in which a sequence rule is resolved.
 SLICE_LEADS = 512
+#: Slices of an entity that one task links to those before them.
+CHAIN_SLICES = 4096
 
 
 @dataclass(frozen=True, kw_only=True)
@@ -298,9 +300,8 @@ def _greedy_fires(candidates: DataFrame, need: int) -> DataFrame:
 
     What a slice passes on is one number, the lead count the next fire has to reach.
     Relative to the slice's first candidate there are only need + 1 different entries,
-    so a slice is summarized by a vector of need + 1 exits. A slice is chained to its
-    predecessor only when the predecessor's exits lead to different entries here;
-    elsewhere the chain is cut, and chains are short.
+    so a slice is summarized by a vector of need + 1 exits, and what a slice is entered with
+    follows from the vectors before it, composed in rounds (see `chained_entries`).
     """
     item = "struct(n, us, event_id, lead, inside)"
     packed = (
@@ -316,39 +317,20 @@ def _greedy_fires(candidates: DataFrame, need: int) -> DataFrame:
             ),
         )
     )
-    chain = Window.partitionBy("entity_key").orderBy("slice")
-    entry = "cast(greatest(0L, least({need}L, {goal} - base)) as int)"
-    low = entry.format(need=need, goal="array_min(before)")
-    high = entry.format(need=need, goal="array_max(before)")
-    linked = (
-        packed.select("entity_key", "slice", "base", "exits")
-        .withColumn("before", F.lag("exits").over(chain))
-        .withColumn("cut", F.expr(f"before is null or {low} = {high}"))
-        .withColumn("first_entry", F.expr(f"if(before is null, 0, {low})"))
-        .withColumn("chain_no", F.sum(F.col("cut").cast("long")).over(chain))
+    vectors = materialize(packed.select(
+        "entity_key", F.col("slice").alias("at"), F.floor(F.col("slice") / CHAIN_SLICES).alias("slice"), "base", "exits"
+    ))
+    linked = slices.previous_row(vectors, ["entity_key"], ["at"], {"before": "exits"}).withColumn(
+        # From an entry of the slice before to one of this slice; the first is entered with 0.
+        "step",
+        F.expr(f"transform(coalesce(before, transform(exits, g -> base)), g -> cast(greatest(0L, least({need}L, g - base)) as int))"),
     )
-    step = entry.format(need=need, goal="acc.goal").replace("base", "s.base")
-    entries = (
-        linked.groupBy("entity_key", "chain_no")
-        .agg(F.expr("array_sort(collect_list(struct(slice, base, exits, first_entry)))").alias("ss"))
-        .withColumn(
-            "entries",
-            F.expr(
-                f"""aggregate(ss,
-                    struct(ss[0].base + ss[0].first_entry as goal,
-                           cast(array() as array<struct<slice: bigint, goal: bigint>>) as done),
-                    (acc, s) -> struct(
-                        element_at(s.exits, {step} + 1) as goal,
-                        array_append(acc.done, struct(s.slice as slice, acc.goal as goal)) as done),
-                    acc -> acc.done)"""
-            ),
-        )
-        .select("entity_key", F.explode("entries").alias("e"))
-        .select("entity_key", "e.slice", "e.goal")
+    entries = slices.chained_entries(linked, ["entity_key"], "at", "step").select(
+        "entity_key", F.col("at").alias("slice"), "entry"
     )
+    packed = packed.join(entries, ["entity_key", "slice"]).withColumn("goal", F.col("base") + F.col("entry"))
     return (
-        packed.join(entries, ["entity_key", "slice"])
-        .withColumn(
+        packed.withColumn(
             "fires",
             F.expr(
                 f"""aggregate(items,

@@ -15,6 +15,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from trailhound.session import discard, materialize
+
 DEFAULT_SLICE_US = 60 * 1_000_000
 
 
@@ -163,3 +165,28 @@ def runs(
         .filter(F.col(flag))
         .drop("_prev", "_open", "_carry")
     )
+
+
+def chained_entries(
+    rows: DataFrame, group: Sequence[str], at: str, step: str, slice_col: str = "slice"
+) -> DataFrame:
+    """What each row is entered with, where a row's `step` maps each entry of the row before
+    (0, 1, ...) to an entry of this one, and a group's first row has a constant step.
+
+    Pointer doubling: in round k a row's step is composed with that of the row 2^k before, so a
+    chain of n rows is settled after log2(n) rounds of joins by number, none of which puts a
+    group in one task. A row whose composed step is constant is settled and joins no more.
+    """
+    numbered = running_totals(rows.withColumn("_one", F.lit(1)), group, [at], {"_number": "_one"}, slice_col)
+    current, distance = materialize(numbered.select(*group, at, "_number", F.col(step).alias("_step"))), 1
+    constant = F.array_min("_step") == F.array_max("_step")
+    while not current.filter(~constant).isEmpty():
+        earlier = current.select(*group, (F.col("_number") + distance).alias("_number"), F.col("_step").alias("_earlier"))
+        composed = (
+            current.filter(~constant).join(earlier, [*group, "_number"])
+            .select(*group, at, "_number", F.expr("transform(_earlier, e -> _step[e])").alias("_step"))
+        )
+        before, current = current, materialize(current.filter(constant).unionByName(composed))
+        discard(before)
+        distance *= 2
+    return current.select(*group, at, F.col("_step")[0].alias("entry"))
