@@ -300,9 +300,14 @@ def test_each_stage_decides_over_what_the_one_before_kept(spark):
     assert {r.doc_id for r in packed} == set(texts[names[4]]) and all(r.n == r.t for r in packed)
 
 
-def test_rows_without_id_share_their_fate(spark):
-    rows = [(None, "a b c d e"), (3, "a b c d e"), (3, "a b c d e"), (None, "other text entirely here"), (4, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = corpus_pipeline.near_dedup(spark, docs, SMALL).collect()
-    assert sorted((str(r.doc_id), str(r.text)) for r in kept) == [
-        ("3", "a b c d e"), ("4", "None"), ("None", "a b c d e"), ("None", "other text entirely here")]
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    rows = [
+        (None, "a b c d e"), (3, "a b c d e"), (3, "a b c d e"), (None, "other text entirely here"), (4, None),
+        (5, "a b c d e"), (5, "five has another text"), (2, "five has another text"), (5, "and a third one, too"),
+    ]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, fp int")
+    kept = corpus_pipeline.near_dedup(spark, docs, SMALL)
+    assert kept.columns == ["doc_id", "text", "fp"]
+    # Rows of an id are held against their own groups: 5's first text goes with 3, its second with 2.
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == [
+        ("2", "five has another text"), ("3", "a b c d e"), ("4", "None"), ("5", "and a third one, too"), ("None", "other text entirely here")]

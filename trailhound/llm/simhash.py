@@ -18,7 +18,7 @@ that repeat stay. A null doc_id is never a component's name unless nothing else
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -59,15 +59,15 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) for every row."""
+def fingerprints(docs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """doc_id, the key columns (longs), fp (the 64 bits as a signed long) for every row."""
 
     def work(rows: dict) -> dict:
-        return {"doc_id": rows["doc_id"], "fp": [fingerprint(t) for t in rows["text"]]}
+        return {name: rows[name] for name in ("doc_id", *keys)} | {"fp": [fingerprint(t) for t in rows["text"]]}
 
     return map_batches(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")),
-        work, "doc_id long, fp long",
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keys, F.col("text").cast("string").alias("text")),
+        work, ", ".join(f"`{name}` long" for name in ("doc_id", *keys, "fp")),
     )
 
 
@@ -247,16 +247,24 @@ def links(distinct: DataFrame, total: int, radius: int = RADIUS) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row per document: doc_id, fingerprint (hex), component_id (least doc_id reachable)."""
-    marked = materialize(fingerprints(docs))
+def classes(docs: DataFrame, radius: int = RADIUS, keys: Sequence[str] = ()) -> DataFrame:
+    """One row per document: doc_id, the key columns, fp, class_fp (a fingerprint that stands
+    for the component), component_id (least doc_id reachable)."""
+    marked = materialize(fingerprints(docs, keys))
     distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = connected_components(materialize(links(distinct, distinct.count(), radius)))
     member = found.join(distinct.withColumnRenamed("fp", "node"), "node")
     named = member.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = found.join(named, "component").select(F.col("node").alias("fp"), "component_id")
+    linked = found.join(named, "component").select(F.col("node").alias("fp"), F.col("component").alias("class_fp"), "component_id")
     # Written, so that a fingerprint with very many documents is a join that Spark can split.
-    every = materialize(distinct.join(classes, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
-    return marked.join(every, "fp").select(
+    every = materialize(distinct.join(linked, "fp", "left").select(
+        "fp", F.coalesce("class_fp", "fp").alias("class_fp"), F.coalesce("component_id", "least").alias("component_id")
+    ))
+    return marked.join(every, "fp").select("doc_id", *keys, "fp", "class_fp", "component_id")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One row per document: doc_id, fingerprint (hex), component_id (least doc_id reachable)."""
+    return classes(docs, radius).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
