@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
 read again as the next stage's documents. All but the last return the columns of documents.
-Rows that share a doc_id share its fate: if one is rejected, all are. So do rows without one.
+Quality rules and toxicity decide by doc_id: if one row of an id is rejected, all are; so are
+rows without one. Of near-duplicates the stage decides row by row. A null text is an empty one,
+an empty table gives an empty one at every stage, and columns beside those of documents stay.
 """
 
 from __future__ import annotations
@@ -34,11 +36,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id stays."""
-    found = simhash.near_duplicates(docs)
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["first_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    """Of each group of near-duplicates one row stays: one with the least id (a missing id comes
+    last), then the least fingerprint. Rows are told by 128 bits of id and text, so rows of one id with
+    different texts are each held against their own group. Null texts form a group with
+    wordless ones; other columns are carried along."""
+    keys = ["_row_1", "_row_2"]
+    named = docs.withColumns({key: F.xxhash64(F.lit(i), "doc_id", "text") for i, key in enumerate(keys)})
+    found = simhash.classes(named, keys=keys)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp", *keys)).alias("r")
+    stays = found.groupBy("class_fp").agg(first).select(*[f"r.{key}" for key in keys])
+    return named.join(stays, keys, "left_semi").dropDuplicates(keys).drop(*keys)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
