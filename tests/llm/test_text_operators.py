@@ -252,6 +252,24 @@ def test_license_join_finds_what_counting_finds(spark):
         assert tuple(row[n] for n in names) == want[row.doc_id], texts[row.doc_id]
 
 
+def test_spread_notices_and_long_templates_are_found_at_every_offset(spark):
+    spread = [n for n in licenses.NOTICES if len(n.split()) in range(10, 16)]
+    long = max(licenses.NOTICES, key=len)
+    texts = []
+    for notice in spread:
+        words = "".join(c if c.isalnum() else " " for c in notice).split()
+        gaps = min(4, 64 // len(words) - 1)
+        texts += [("pad " * offset + " ".join(w + " zz" * gaps for w in words), licenses.NOTICES[notice]) for offset in range(32)]
+    tail = long.split()[len(long.split()) // 6:]  # without its opening words
+    texts += [("pad " * offset + " ".join(tail), licenses.NOTICES[long]) for offset in (0, 1, 31, 500)]
+    joiner = licenses.Joiner(licenses.built_in_templates(), {})
+    for text, label in texts:
+        assert label in joiner.scan(text)[2] | {x for _, x in joiner.scan(text)[1]}, text
+    assert joiner.scan("pad " * 200_000 + long)[2] >= {licenses.NOTICES[long]}  # a very long text
+    none = spark.createDataFrame([], "doc_id long, text string, places string")
+    assert licenses.digest(licenses.scan_licenses(none)).count() == 0
+
+
 # ---- op4 --------------------------------------------------------------------------------
 
 def test_chats_read_back_as_they_were(spark):

@@ -1,19 +1,20 @@
 """License notices by exact set-similarity join.
 
-Templates are sets of words. A block, a window of a document's words, joins a template when
-it holds at least the template's threshold of them (containment). Words are ordered by their
-frequency in all documents, rarest first. Then
+Templates are sets of words. A block is a window of a document's words, twice as long as the
+template (at least MIN_WINDOW words), at any place; it joins the template when it holds at
+least the template's threshold of its words (containment). It is enough to look at windows
+that begin with a word of the template. Words are ordered by their frequency in all documents,
+rarest first. Then
 * prefix filter: a block that joins has one of the template's r - need + 1 rarest words,
-* length filter: it has at least `need` words,
-* positional filter: from the place of the first common word on, both sides must have enough
-  words left.
+* length filter: it has at least `need` words of it,
+* positional filter: from the place of the block's first word in the template's order on,
+  enough words are left.
 What passes is verified by counting. The filters only spare work: every block that meets the
 threshold is found. Frequencies are only ever needed of template words, so their table is
 bounded by the templates; documents are read twice and never shuffled.
 
-Short phrases are templates with threshold 1, whose blocks are then checked for the words
-standing consecutively. Windows overlap by more than the longest template, so no passage is
-cut by a window's edge.
+Short phrases are templates with threshold 1 and blocks of their own length, whose words must
+stand consecutively. Templates may be of any length.
 
 Cases: a null text has no words; repeated rows stay; a word of a template that the documents
 never hold has frequency zero and comes first; long texts are cut into many windows.
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from math import ceil
 
@@ -31,8 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from trailhound.llm.common import map_batches
 
-BLOCK_WORDS = 64
-BLOCK_STEP = 32
+MIN_WINDOW = 64
 CONTAINMENT = 0.8
 
 # Phrases and their labels.
@@ -54,6 +55,24 @@ NOTICES = {
     "Redistribution and use in source and binary forms, with or without modification, are permitted": "bsd",
     "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "mpl",
     "All rights reserved.": "reserved",
+    # Headers and bodies.
+    """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+    documentation files (the "Software"), to deal in the Software without restriction, including without limitation
+    the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and
+    to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above
+    copyright notice and this permission notice shall be included in all copies or substantial portions of the
+    Software.""": "mit",
+    """Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+    disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and
+    the following disclaimer in the documentation and/or other materials provided with the distribution.""": "bsd",
+    """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance
+    with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless
+    required by applicable law or agreed to in writing, software distributed under the License is distributed on an
+    "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""": "apache",
+    """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
+    License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any
+    later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without
+    even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.""": "gpl",
 }
 
 #: Bytes of words stay, capitals become small, all else is space.
@@ -77,6 +96,10 @@ class Template:
     def need(self) -> int:
         return ceil(self.threshold * len(set(self.words)) - 1e-9)
 
+    @property
+    def window(self) -> int:
+        return len(self.words) if self.phrase else max(MIN_WINDOW, 2 * len(self.words))
+
 
 def built_in_templates() -> list[Template]:
     return [Template(label, tuple(words_of(p)), 1.0, True) for p, label in PHRASES.items()] + [
@@ -88,67 +111,53 @@ class Joiner:
     """The templates' side of the join: ordered words and the index of their prefixes."""
 
     def __init__(self, templates: list[Template], frequency: dict[bytes, int]):
-        if max(len(t.words) for t in templates) > BLOCK_WORDS - BLOCK_STEP + 1:
-            raise ValueError("a template is longer than the windows' overlap")
         vocabulary = {w for t in templates for w in t.words}
         order = sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w))
         self.rank = {w: i for i, w in enumerate(order)}
         self.templates = templates
         self.sets = [sorted({self.rank[w] for w in t.words}) for t in templates]
-        self.prefix: dict[int, list[tuple[int, int]]] = {}
-        for t, (template, ranks) in enumerate(zip(templates, self.sets)):
-            for place, r in enumerate(ranks[: len(ranks) - template.need + 1]):
-                self.prefix.setdefault(r, []).append((t, place))
-        self.prefix_words = frozenset(order[r] for r in self.prefix)
-
-    def blocks(self, words: list[bytes]):
-        """(first word, distinct template words by rank) of windows with a prefix word."""
-        rank = self.rank
-        hits = [(i, rank[w]) for i, w in enumerate(words) if w in rank]
-        starts = sorted({
-            s for i, r in hits if r in self.prefix
-            for s in range(max(0, (i - BLOCK_WORDS) // BLOCK_STEP + 1) * BLOCK_STEP, i + 1, BLOCK_STEP)
-        })
-        at = [i for i, _ in hits]
-        for s in starts:
-            inside = hits[bisect_left(at, s):bisect_left(at, s + BLOCK_WORDS)]
-            yield s, sorted({r for _, r in inside})
-
-    def join(self, words: list[bytes]):
-        """(template, first word of the block, containment) of every joined pair."""
-        if self.prefix_words.isdisjoint(words):
+        self.prefix = [ranks[: len(ranks) - t.need + 1] for t, ranks in zip(templates, self.sets)]
+        self.prefix_words = frozenset(order[r] for ranks in self.prefix for r in ranks)
+
+    def blocks(self, t: int, places: dict[int, list[int]]) -> Iterator[tuple[int, int]]:
+        """(first word, words in common) of the windows that may join template t."""
+        own, need, width = self.sets[t], self.templates[t].need, self.templates[t].window
+        marks = sorted(p for r in self.prefix[t] for p in places.get(r, ()))
+        if not marks:
             return
-        for start, block in self.blocks(words):
-            tried = set()
-            for at, r in enumerate(block):
-                for t, place in self.prefix.get(r, ()):
-                    if t in tried:
-                        continue
-                    tried.add(t)
-                    own, need = self.sets[t], self.templates[t].need
-                    # The first common word of both: none before it, so few left is too few.
-                    if len(block) < need or min(len(own) - place, len(block) - at) < need:
-                        continue
-                    common = len(set(own).intersection(block))
-                    if common >= need:
-                        yield t, start, common / len(own)
+        hits = sorted((p, at) for at, r in enumerate(own) for p in places.get(r, ()))
+        end = 0
+        for begin, (first, _) in enumerate(hits):
+            while end < len(hits) and hits[end][0] < first + width:
+                end += 1
+            mark = bisect_left(marks, first)
+            if end - begin < need or mark == len(marks) or marks[mark] >= first + width:
+                continue
+            block = {at for _, at in hits[begin:end]}
+            if len(own) - min(block) >= need:
+                yield first, len(block)
 
     def scan(self, text: str | None) -> tuple:
         """n_words, places of phrases (first word, label), labels of all kinds, score."""
         words = words_of(text)
-        places, labels, score = set(), set(), 0.0
-        for t, start, containment in self.join(words):
-            template = self.templates[t]
-            if template.phrase:
-                width, phrase = len(template.words), list(template.words)
-                for i in range(start, min(start + BLOCK_WORDS, len(words)) - width + 1):
-                    if words[i] == phrase[0] and words[i:i + width] == phrase:
-                        places.add((i, t))
-                        score = 1.0
-            else:
+        found, labels, score = [], set(), 0.0
+        if self.prefix_words.isdisjoint(words):
+            return len(words), found, labels, score
+        places: dict[int, list[int]] = {}
+        for i, r in enumerate(map(self.rank.get, words)):
+            if r is not None:
+                places.setdefault(r, []).append(i)
+        for t, template in enumerate(self.templates):
+            most = 0
+            for start, common in self.blocks(t, places):
+                if template.phrase and words[start:start + template.window] == list(template.words):
+                    found.append((start, t))
+                most = max(most, common)
+            if not template.phrase and most >= template.need:
                 labels.add(template.label)
-                score = max(score, containment)
-        return len(words), [(i, self.templates[t].label) for i, t in sorted(places)], labels, score
+                score = max(score, most / len(self.sets[t]))
+        score = 1.0 if found else score
+        return len(words), [(i, self.templates[t].label) for i, t in sorted(found)], labels, score
 
 
 def frequencies(docs: DataFrame, templates: list[Template]) -> dict[bytes, int]:
@@ -206,13 +215,13 @@ def oracle_sql() -> str:
     return f"""
 WITH template(t, label, phrase, need, i, w) AS (VALUES {values}),
 size AS (SELECT t, any_value(label) AS label, any_value(phrase) AS phrase, any_value(need) AS need,
-    count(DISTINCT w) AS words, count(*) AS width FROM template GROUP BY t),
+    count(DISTINCT w) AS words, count(*) AS width, greatest({MIN_WINDOW}, 2 * count(*)) - 1 AS span FROM template GROUP BY t),
 list AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
 word AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS pos FROM list),
 own AS (SELECT * FROM word SEMI JOIN template USING (w)),
-block AS (SELECT r, w, pos // {BLOCK_STEP} - d AS b FROM own, (VALUES (0), (1)) AS step(d) WHERE pos // {BLOCK_STEP} >= d),
-pair AS (SELECT r, t, count(DISTINCT block.w) AS common FROM block JOIN template USING (w) GROUP BY r, b, t),
+hit AS (SELECT r, t, pos, own.w, span FROM own JOIN (SELECT DISTINCT t, w FROM template WHERE NOT phrase) USING (w) JOIN size USING (t)),
+pair AS (SELECT r, t, count(DISTINCT w) OVER (PARTITION BY r, t ORDER BY pos RANGE BETWEEN CURRENT ROW AND span FOLLOWING) AS common FROM hit),
 notice AS (SELECT DISTINCT r, label, common / words AS share FROM pair JOIN size USING (t) WHERE NOT phrase AND common >= need),
 place AS (SELECT r, t, pos - i AS start FROM own JOIN template USING (w) JOIN size USING (t) WHERE size.phrase
     GROUP BY r, t, pos - i HAVING count(*) = any_value(width)),
