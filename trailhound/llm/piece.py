@@ -6,10 +6,11 @@ unigram scores or, for a BPE model, merges ranked by the score of what they make
 fallback. A worker encodes in batches, in several threads.
 
 No piece of a model that splits at white space holds the marker behind another character, so a
-text's ids are those of its marked words, joined; each distinct word is encoded once. Texts that
-are not words with single spaces between are encoded whole. The ids of every whole text are
-then compared with the sentencepiece library's, and so is their decoding by the tokenizers
-library (`parity`); nothing is kept from one row's comparison to the next.
+text's ids are those of its marked words, joined; each distinct word is encoded, and its ids
+decoded, once by the tokenizers library. Texts that are not words with single spaces between
+are encoded and decoded whole. The ids of every whole text are then compared with those that
+the sentencepiece library gives for it, and the joined decoding with that library's decoding of
+the whole (`parity`); nothing is kept from one row's comparison to the next.
 
 Cases: a null text is empty and has no ids; repeated rows stay; texts of any length are
 encoded whole. A text decodes to itself but for what the model's normalizer changes.
@@ -20,6 +21,8 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import filterfalse
 
@@ -31,6 +34,8 @@ from trailhound.llm.common import map_batches
 MARK = "▁"
 THREADS = 2
 MEMO_WORDS = 250_000
+#: New words encoded as one text.
+WORDS_TOGETHER = 200
 #: Characters of texts whose ids both libraries hold at a time; one text may be longer.
 TOGETHER = 1 << 20
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -190,8 +195,9 @@ class Codec:
             bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind in (CONTROL,) else p.replace(MARK, " ").encode()
             for p, _, kind in self.spec.pieces
         ]
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.begins = np.array([p.startswith(MARK) for p, _, _ in self.spec.pieces])
+        self.memo: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
 
     @classmethod
     def of(cls, path: str) -> Codec:
@@ -199,21 +205,39 @@ class Codec:
             cls.made[path] = cls(path)
         return cls.made[path]
 
-    def _own(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(a.ids, dtype="<u4").tobytes() for a in found]
+    def _own(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        """Ids and decoded texts by the tokenizers library."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        back = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+        return [(array("I", i).tobytes(), t) for i, t in zip(ids, back)]
 
-    def _joined(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian ids by the tokenizers library, of words or else of whole texts."""
+    def _words(self, words: list[str]) -> list[tuple[bytes, str]]:
+        """The same of words, many encoded as one text: a word's ids begin where a piece begins
+        with the marker, its decoding behind a space."""
+        out = []
+        groups = [words[i:i + WORDS_TOGETHER] for i in range(0, len(words), WORDS_TOGETHER)]
+        for group, (ids, text) in zip(groups, self._own([" ".join(g) for g in groups])):
+            cuts = np.nonzero(self.begins[np.frombuffer(ids, dtype="<u4")])[0]
+            back = text.split(" ")
+            if len(cuts) == len(back) == len(group):
+                cuts = [*(4 * cuts).tolist(), len(ids)]
+                out += [(ids[a:b], t) for a, b, t in zip(cuts, cuts[1:], back)]
+            else:
+                out += self._own(group)
+        return out
+
+    def _joined(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
+        """Little-endian ids and decoded texts by the tokenizers library, of words or else of
+        whole texts. A word's ids begin with the marker, so what they decode to is joined by spaces."""
         if len(self.memo) > MEMO_WORDS:
             self.memo, self.older = {}, self.memo
         memo = self.memo
         cut = [t.split(" ") if t and self.by_words and MARK not in t else None for t in texts]
-        new = {w for words in cut if words for w in filterfalse(memo.__contains__, words)}
+        new = set().union(*filter(None, cut)).difference(memo)
         again = new.intersection(self.older)
         memo.update(zip(again, map(self.older.__getitem__, again)))
         fit = [w for w in new - again if w]
-        memo.update(zip(fit, self._own(fit)))
+        memo.update(zip(fit, self._words(fit)))
         out: list = []
         whole = []
         for i, (text, words) in enumerate(zip(texts, cut)):
@@ -222,28 +246,31 @@ class Codec:
                 whole.append(i)
                 out.append(None)
             else:
-                out.append(b"".join(known))
+                ids, parts = zip(*known) if known else ((), ())
+                out.append((b"".join(ids), " ".join(parts)))
         for i, found in zip(whole, self._own([texts[i] for i in whole]) if whole else ()):
             out[i] = found
         return out
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, bool]]:
         """Little-endian ids, and whether the sentencepiece library gives the same for the whole text."""
-        out = []
+        return [(ids, same) for ids, same, _, _ in self._compared(texts)]
+
+    def _compared(self, texts: list[str | None]) -> Iterator[tuple[bytes, bool, str, list[int]]]:
         for part in parts(texts):
             theirs = self.other.encode([t or "" for t in part], num_threads=THREADS)
-            out += [(a, a == np.array(b, dtype="<u4").tobytes()) for a, b in zip(self._joined(part), theirs)]
-        return out
+            for (ids, back), other in zip(self._joined(part), theirs):
+                same = ids == array("I", other).tobytes()
+                yield ids, same, back, other if same else np.frombuffer(ids, dtype="<u4").tolist()
 
     def round_trip(self, texts: list[str | None]) -> list[tuple[bytes, bool, str]]:
-        """Ids, whether sentencepiece agrees on them and on their decoding, and decoded text."""
+        """Ids, whether sentencepiece agrees on them and on the decoding of the whole, and
+        decoded text."""
         out = []
         for part in parts(texts):
-            found = self.encode(part)
-            numbers = [np.frombuffer(ids, dtype="<u4").tolist() for ids, _ in found]
-            mine = self.tokenizer.decode_batch(numbers, skip_special_tokens=False)
-            theirs = self.other.decode(numbers, num_threads=THREADS)
-            out += [(ids, same and a == b, a) for (ids, same), a, b in zip(found, mine, theirs)]
+            found = list(self._compared(part))
+            theirs = self.other.decode([f[3] for f in found], num_threads=THREADS)
+            out += [(ids, same and back == other, back) for (ids, same, back, _), other in zip(found, theirs)]
         return out
 
     def decode(self, ids: bytes) -> str:
