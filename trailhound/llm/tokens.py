@@ -90,13 +90,8 @@ class MemoEncoder:
         if len(self.heads) > MEMO_CHUNKS // 10:
             self.heads.clear()
         memo, older = self.memo, self.older
-        get = memo.get
-        first, found = [], []
-        for t in texts:
-            chunks = (t or "").replace("\n", " \n").split(" ")
-            first.append(chunks[0])
-            found.append(list(map(get, chunks, chunks)))  # ids, or the chunk where it is new
-        new = {p for parts in found for p in parts if type(p) is str}
+        cut = [(t or "").replace("\n", " \n").split(" ") for t in texts]
+        new = set().union(*cut).difference(memo)
         again = new.intersection(older)
         memo.update(zip(again, map(older.__getitem__, again)))
         new -= again
@@ -109,12 +104,12 @@ class MemoEncoder:
             memo.update(zip(fit, self._apart(fit)))
         memo.update((c, memo[c[:-1]] + self._head(c[-1])) for c in marked)
         out = []
-        for text, head, parts in zip(texts, first, found):
-            parts = [memo[p] if type(p) is str else p for p in parts]
+        for text, chunks in zip(texts, cut):
+            parts = list(map(memo.__getitem__, chunks))
             # A chunk that is empty or ends in white space joins the space after it.
             if None in parts:
                 out.append(self._plain(text or "").tobytes())
             else:
-                parts[0] = self._head(head)
+                parts[0] = self._head(chunks[0])
                 out.append(b"".join(parts))
         return out
