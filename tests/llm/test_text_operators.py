@@ -210,6 +210,8 @@ def test_base_spans_are_those_of_the_patterns():
 
 @pytest.mark.parametrize("text, kind, value", [
     ("see https://a.example/x?y=1.", "url", "https://a.example/x?y=1"),
+    ("1." + "longer" * 10 + "+x://a.example", "url", "longer" * 10 + "+x://a.example"),
+    ("İİ PassWord=abc12345x", "secret", "abc12345x"), ("ApI_kEy: k3y-value-x", "secret", "k3y-value-x"),
     ("IBAN: GB82 WEST 1234 5698 7654 32 ok", "account", "GB82 WEST 1234 5698 7654 32"),
     ("SSN 123-45-6789.", "account", "123-45-6789"),
     ("account number: 00123456", "account", "00123456"),

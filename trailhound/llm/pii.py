@@ -9,8 +9,9 @@ Kinds, in order: email, ip, card, phone (fixed patterns, checked by part size, L
 number of digits); then url (scheme and host), account (a cue such as IBAN, SSN or account
 number with a valid number behind it) and secret (a password or key cue with its value).
 
-Cases: a null text has no spans; repeated rows stay; texts of any length are scanned whole,
-in linear time. Offsets are code points, ends exclusive.
+Cues are found in any case. Cases: a null text has no spans; an empty table gives no rows;
+repeated rows stay; texts of any length are scanned whole, in linear time; other columns are
+ignored, and kept by `mask_documents`. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 _SPACED = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _DIALLED = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
+_SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 _LOCATION = re.compile(r"[^\s<>\"'`{}|\\^\[\]]+")
 _IBAN = re.compile(r"[\s:#=]{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
 _SOCIAL = re.compile(r"[\s:#=]{0,3}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
@@ -56,13 +57,20 @@ def _automaton() -> ahocorasick.Automaton:
         for anchor in ("@", "+", "://", *"0123456789"):
             made.add_word(anchor, ("digit" if anchor.isdigit() else anchor, ""))
         for cue in CUES:
-            for written in {cue, cue.upper(), cue.capitalize(), cue.title()}:
-                made.add_word(written, ("cue", cue))
+            made.add_word(cue, ("cue", cue))
         made.make_automaton()
         _machine = made
     return _machine
 
 
+def _lowered(text: str) -> str:
+    """The text in small letters at the same places, so that cues of any case are found."""
+    small = text.lower()
+    if len(small) == len(text):
+        return small
+    return "".join([s if len(s := c.lower()) == 1 else c for c in text])
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -86,7 +94,7 @@ def find_spans(text: str | None) -> list[tuple[int, int, int]]:
     def add(kind: str, start: int, end: int) -> None:
         found.append((start, KINDS.index(kind), end))
 
-    for last, (anchor, cue) in _automaton().iter(text):
+    for last, (anchor, cue) in _automaton().iter(_lowered(text)):
         if anchor == "digit":
             if last >= done["ip"]:
                 m = _DOTTED.match(text, last)
@@ -116,11 +124,17 @@ def find_spans(text: str | None) -> list[tuple[int, int, int]]:
                     add("phone", last, m.end())
         elif anchor == "://":
             if last >= done["url"]:
-                scheme = _SCHEME.search(text, max(done["url"], last - 2 - 32), last - 2)
+                # Back over the scheme, which begins with a letter; its characters hold no anchor of
+                # this kind, so no text is walked over twice.
+                start = scheme = last - 2
+                while start > done["url"] and text[start - 1] in _SCHEME:
+                    start -= 1
+                    if text[start].isalpha():
+                        scheme = start
                 m = _LOCATION.match(text, last + 1)
                 end = last + 1 + len(m.group().rstrip(".,;:!?)")) if m else last
-                if scheme and end > last + 1 and text[last + 1].isalnum():
-                    add("url", scheme.start(), end)
+                if scheme < last - 2 and end > last + 1 and text[last + 1].isalnum():
+                    add("url", scheme, end)
                     done["url"] = end
         else:
             kind, shape = CUES[cue]
