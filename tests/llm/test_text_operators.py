@@ -315,6 +315,28 @@ def plain_sketch(text, k=bottomk.K):
     return sorted({chained(words[i:i + 5]) for i in range(max(1, len(words) - 4))})[:k]
 
 
+def shingle_set(text):
+    words = (text or "").split()
+    return {tuple(words[i:i + bottomk.WORDS]) for i in range(max(1, len(words) - bottomk.WORDS + 1))} if words else set()
+
+
+def test_containment_and_distinct_counts_against_sets(spark):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("abcde") for _ in range(rng.randrange(0, 60))) for _ in range(30)] + ["", None]
+    texts += [" ".join(rng.choice("abcdefghijkl") for _ in range(3000)) for _ in range(6)]
+    texts.append(texts[-1] + " " + texts[-2])
+    pairs = [(i, a, rng.choice(texts[:32] if i < 32 else texts[32:])) for i, a in enumerate(texts)] + [(99, texts[-2], texts[-1])]
+    df = spark.createDataFrame(pairs, "i int, a string, b string").withColumns({c: bottomk.sketch(F.col(c)) for c in ("a", "b")})
+    got = {r.i: r for r in df.select("i", bottomk.distinct_shingles(F.col("a")).alias("n"), bottomk.containment(F.col("a"), F.col("b")).alias("c")).collect()}
+    for i, a, b in pairs:
+        one, other = shingle_set(a), shingle_set(b)
+        share = len(one & other) / len(one) if one else 1.0
+        if len(one | other) <= bottomk.K:
+            assert got[i].n == len(one) and got[i].c == pytest.approx(share)
+        else:
+            assert got[i].n == pytest.approx(len(one), rel=0.35) and got[i].c == pytest.approx(share, abs=0.25)
+
+
 def likeness(a, b, k=bottomk.K):
     if not a and not b:
         return 1.0

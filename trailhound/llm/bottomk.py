@@ -89,9 +89,19 @@ def distinct_shingles(hashes: Column, k: int = K) -> Column:
 
 
 def containment(a: Column, b: Column, k: int = K) -> Column:
-    """Share of a's shingles that b has too, from resemblance and the sizes."""
-    r, na, nb = resemblance(a, b, k), distinct_shingles(a, k), distinct_shingles(b, k)
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), r * (na + nb) / (1 + r) / na))
+    """Share of a's shingles that b has too, from resemblance and the sizes: exact where the
+    shingles of both together are at most k."""
+    return likeness(a, b, k)["contained"]
+
+
+def likeness(a: Column, b: Column, k: int = K) -> Column:
+    """near (resemblance) and contained (of a in b) as one struct; resemblance is worked out once."""
+    def of(r: Column) -> Column:
+        na, nb = distinct_shingles(a, k), distinct_shingles(b, k)
+        share = F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), r * (na + nb) / (1 + r) / na))
+        return F.struct(r.alias("near"), share.alias("contained"))
+
+    return let(resemblance(a, b, k), of)
 
 
 def merge(parts: DataFrame, keys: list[str], hashes: str = "sketch", k: int = K) -> DataFrame:
@@ -121,7 +131,8 @@ def _neighbours(ids: DataFrame, count: int) -> DataFrame:
 
 
 def fingerprint_pairs(docs: DataFrame, k: int = K, size: int = WORDS) -> DataFrame:
-    """Each document's fingerprint, that of its edited text, and their likenesses.
+    """Each document's fingerprint, that of its edited text, their likenesses, how many distinct
+    shingles the document has and which share of them the edited text and the next one hold.
 
     Texts are dealt by id once. There each gives the document before it the piece of text
     that one wants, and its own sketch; only these travel again."""
@@ -157,9 +168,15 @@ def fingerprint_pairs(docs: DataFrame, k: int = K, size: int = WORDS) -> DataFra
         F.explode(F.array(F.struct(
             sketch(F.col("text"), k, size).alias("own"), sketch(F.col("edited"), k, size).alias("edited")))).alias("s"),
     )
-    return made.select(
+    held = made.select(
+        "doc_id", "n_chars", "edited_sha256", "s",
+        F.explode(F.array(F.struct(
+            likeness(F.col("s.own"), F.col("s.edited"), k).alias("edited"), likeness(F.col("s.own"), F.col("next_sketch"), k).alias("next")))).alias("l"),
+    )
+    return held.select(
         "doc_id", "n_chars", "edited_sha256", to_text(F.col("s.own")).alias("fingerprint"),
         to_text(F.col("s.edited")).alias("edited_fingerprint"),
-        resemblance(F.col("s.own"), F.col("s.edited"), k).alias("near_edited"),
-        resemblance(F.col("s.own"), F.col("next_sketch"), k).alias("near_next"),
+        F.col("l.edited.near").alias("near_edited"), F.col("l.next.near").alias("near_next"),
+        distinct_shingles(F.col("s.own"), k).alias("n_distinct"),
+        F.col("l.edited.contained").alias("contained_edited"), F.col("l.next.contained").alias("contained_next"),
     )
