@@ -615,6 +615,7 @@ QUERIES: dict[str, str] = {
               SELECT technique, count(*) AS findings FROM finds GROUP BY technique))) g LEFT JOIN tech t ON t.technique_id = g.normalized""",
     "mapping_audit": "SELECT finding_id, technique FROM finds WHERE technique NOT IN (SELECT technique_id FROM tech)",
     "catalog_from_bundle": "SELECT technique_id, name, tactics, parent_id, deprecated, url FROM bcat",
+    "catalog_round_trip": "SELECT technique_id, name, tactics, parent_id, deprecated, url FROM bcat",
     "catalog_metadata": """SELECT count(*) AS technique_count, count(*) FILTER (WHERE NOT deprecated) AS active_count,
         count(*) FILTER (WHERE deprecated) AS deprecated_count, count(parent_id) AS subtechnique_count,
         (SELECT max(CASE WHEN p_size > 25 THEN '3.2.0' ELSE '2.1.0' END) FROM objs WHERE pattern) AS attack_spec_version,
@@ -651,6 +652,9 @@ QUERIES: dict[str, str] = {
           {'text': strftime(o_orderdate, '%G-W%V-%u'), 'us': epoch_us(date_trunc('day', o_orderdate))},
           {'text': strftime(o_orderdate, '%Y') || '-W60-1', 'us': NULL}]) AS f)""",
     "format_scores": "SELECT file, source_type, round(confidence, 3) AS confidence, line_delimited FROM formats",
+    "own_format_events": """SELECT file, 'web_page' AS source_type, count(*) AS events, max(regexp_extract(value, '<title>([^<]*)</title>', 1)) AS target,
+        sum(length(value))::BIGINT AS raw_chars FROM pl WHERE contains(value, '<title>') GROUP BY file
+        UNION ALL SELECT file, 'syslog_sshd', count(*), 'sshd', sum(length(line))::BIGINT FROM hp WHERE emitted GROUP BY file""",
     "rejected_files": """SELECT file, 'unrecognised log format' AS error, round(confidence, 3) AS best_confidence, 0.3::DOUBLE AS min_confidence,
         'syslog_sshd, aws_cloudtrail' AS supported FROM formats WHERE source_type IS NULL""",
     "parse_statistics": "SELECT file, lines_read, events_emitted, lines_skipped, errors FROM pstats",

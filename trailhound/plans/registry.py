@@ -571,6 +571,16 @@ def catalog_metadata(spark, sf):
     return stix.catalog_meta(*_bundle_catalog(spark, sf))
 
 
+@query
+def catalog_round_trip(spark, sf):
+    """The catalog of a bundle as its written file gives it back."""
+    path = f"{ensure_checkpoint_dir(spark)}/trailhound-catalog-{uuid.uuid4().hex}"
+    stix.write_catalog(_bundle_catalog(spark, sf)[1], path)
+    return stix.read_catalog(spark, path).select(
+        "technique_id", "name", joined("tactics").alias("tactics"), "parent_id", "deprecated", "url"
+    )
+
+
 @query
 def inherited_tactics(spark, sf):
     """Sub-techniques stripped of their tactics take their parent's."""
@@ -694,6 +704,31 @@ def format_scores(spark, sf):
     return found.select("file", "source_type", F.round("confidence", 3).alias("confidence"), "line_delimited")
 
 
+def _parse_pages(lines: DataFrame, **_) -> DataFrame:
+    title = F.regexp_extract("value", "<title>([^<]*)</title>", 1)
+    return lines.select(
+        "file", "line_no", F.col("value").contains("<title>").alias("emitted"), (F.col("value") == "").alias("blank"),
+        F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("excerpt"),
+        F.lit("web_page").alias("source_type"), F.col("value").alias("raw"), F.lit("web").alias("category"),
+        F.lit("page_seen").alias("action"), F.lit("success").alias("outcome"), title.alias("target_resource"),
+    )
+
+
+#: A format of the caller's own beside the built-in ones.
+WEB_PAGE = formats.LogFormat("web_page", lambda: F.max(F.col("value").startswith("<!DOCTYPE html>").cast("int")) * 0.8, _parse_pages)
+
+
+@query
+def own_format_events(spark, sf):
+    """Host logs and web pages through one load; the pages' format is the caller's."""
+    lines = host_lines(spark, sf).unionByName(render.page_lines(spark, sf))
+    known = (formats.DEFAULT_FORMATS[0], WEB_PAGE)
+    parsed = ingest.parse_files(formats.detect_formats(lines, known), lines, known, default_year=YEAR)
+    return parsed.filter("emitted").groupBy("file", "source_type").agg(
+        F.count(F.lit(1)).alias("events"), F.max("target_resource").alias("target"), F.sum(F.length("raw")).alias("raw_chars")
+    )
+
+
 @query
 def rejected_files(spark, sf):
     return formats.rejected_files(formats.detect_formats(_all_lines(spark, sf)))
