@@ -199,7 +199,8 @@ def test_alignment_forgets_and_learns_chunks_again(spark, monkeypatch):
             whole = aligner._whole(text)
             assert ";".join(own.groups[n] for n in numbers) == own.groups[whole]
             assert b"".join(own.pairs[n] for n in numbers) == own.pairs[whole]
-            assert sum(own.counts[n] for n in numbers) == own.counts[whole]
+            for counts in (own.n_a, own.n_b, own.n_groups):
+                assert sum(counts[n] for n in numbers) == counts[whole]
         assert len(own.number) < 100
     assert len(generations) > 2
 
@@ -212,8 +213,9 @@ def test_alignment_of_a_long_text_and_of_none(spark):
     aligner = align.Aligner.of(byte_bpe_path(), piece_path())
     for r in found:
         whole = aligner._whole(dict(rows)[r["doc_id"]])
-        groups, counts = aligner.records.groups[whole], aligner.records.counts[whole]
-        assert align.counted(r["n_a"], r["n_b"], groups.count(";") + 1) == counts
+        own = aligner.records
+        groups = own.groups[whole]
+        assert (r["n_a"], r["n_b"], groups.count(";") + 1) == (own.n_a[whole], own.n_b[whole], own.n_groups[whole])
         assert r["groups_sha256"] == hashlib.sha256(groups.encode()).hexdigest()
     assert align.align_tokens(spark.createDataFrame([], DOCS)).count() == 0
 

@@ -45,27 +45,26 @@ _POWERS = 10 ** np.arange(1, 10, dtype=np.int64)
 
 class Records:
     """What chunks' groups amount to, by number: the groups' text, the numbers of tokens of A
-    and B and of groups in one (see COUNT_BITS), and the linked pairs. Plain lists, as a worker
-    holds very many."""
+    and B and of groups, and the linked pairs. Plain lists, as a worker holds very many."""
 
     def __init__(self):
         self.number: dict[str, int | None] = {}
         self.groups: list[str] = []
-        self.counts: list[int] = []
+        self.n_a: list[int] = []
+        self.n_b: list[int] = []
+        self.n_groups: list[int] = []
         self.pairs: list[bytes] = []
 
-    def add(self, groups: str, counts: int, pairs: bytes) -> int:
+    def add(self, groups: str, n_a: int, n_b: int, n_groups: int, pairs: bytes) -> int:
         self.groups.append(groups)
-        self.counts.append(counts)
+        self.n_a.append(n_a)
+        self.n_b.append(n_b)
+        self.n_groups.append(n_groups)
         self.pairs.append(pairs)
         return len(self.groups) - 1
 
-
-COUNT_BITS = 40
-
-
-def counted(n_a: int, n_b: int, n_groups: int) -> int:
-    return (n_a << COUNT_BITS | n_b) << COUNT_BITS | n_groups
+    def take(self, other: "Records", n: int) -> int:
+        return self.add(other.groups[n], other.n_a[n], other.n_b[n], other.n_groups[n], other.pairs[n])
 
 
 def segments(lengths: np.ndarray) -> np.ndarray:
@@ -116,8 +115,10 @@ class Aligner:
         """Numbers of the new records of chunks that lie one behind the other and end at the
         given bytes."""
         a_end, b_end = np.cumsum(self.a_size[a_ids]), np.cumsum(self.b_size[b_ids])
-        both = np.intersect1d(a_end, b_end, assume_unique=True)
-        every = np.union1d(a_end, b_end)
+        every = np.concatenate([a_end, b_end])
+        every.sort(kind="stable")
+        twice = np.append(every[1:] == every[:-1], False)
+        both, every = every[twice], every[~twice]
         codes = (a_ids[np.searchsorted(a_end, every)] << SHIFT) | b_ids[np.searchsorted(b_end, every)]
         # Each group is written as its A ids and then its B ids, each id with a mark behind it.
         a_group, b_group = np.searchsorted(both, a_end), np.searchsorted(both, b_end)
@@ -133,22 +134,22 @@ class Aligner:
         cut_t = width[cut_a + cut_b]
         cut_p = np.searchsorted(every, ends, side="right")
         own, raw = self.records, codes.tobytes()
-        counts = [np.diff(c, prepend=0).tolist() for c in (cut_a, cut_b, cut_g)]
+        for to, cut in ((own.n_a, cut_a), (own.n_b, cut_b), (own.n_groups, cut_g)):
+            to += np.diff(cut, prepend=0).tolist()
         begin, cut_t, cut_p = len(own.groups), [0, *cut_t.tolist()], [0, *(8 * cut_p).tolist()]
         own.groups += [text[x:y - 1] for x, y in zip(cut_t, cut_t[1:])]
         own.pairs += [raw[x:y] for x, y in zip(cut_p, cut_p[1:])]
-        own.counts += map(counted, *counts)
         return range(begin, len(own.groups))
 
     def _whole(self, text: str | None) -> int:
         """The number of a whole text's record, with the space before it."""
         if not text:
-            return self.records.add("", 0, b"")
+            return self.records.add("", 0, 0, 0, b"")
         a_ids = self.a._plain(" " + text).astype(np.int64)
         b_ids = np.array(self.b.encode(text), dtype=np.int64)
         raw = (" " + text).encode()
         if b"".join([self.b_bytes[i] for i in b_ids.tolist()]) != raw or self.a_size[a_ids].sum() != len(raw):
-            return self.records.add("", 0, b"")
+            return self.records.add("", 0, 0, 0, b"")
         return self._align(a_ids, b_ids, np.array([len(raw)]))[0]
 
     def _learn(self, chunks: list[str]) -> None:
@@ -184,7 +185,7 @@ class Aligner:
         new.difference_update(known)
         for chunk in new.intersection(older.number):
             n = older.number[chunk]
-            known[chunk] = None if n is None else self.records.add(older.groups[n], older.counts[n], older.pairs[n])
+            known[chunk] = None if n is None else self.records.take(older, n)
         new.difference_update(known)
         fit = [c for c in new if c and len(c) <= MEMO_LENGTH and not c[-1].isspace()]
         known.update(dict.fromkeys(new))
@@ -236,12 +237,7 @@ class Block:
 
     def add(self, doc_id, numbers: list[int], size: int) -> None:
         groups = ";".join(map(self.records.groups.__getitem__, numbers))
-        counts, low = sum(map(self.records.counts.__getitem__, numbers)), (1 << COUNT_BITS) - 1
-        n_a, n_b, n_groups = counts >> 2 * COUNT_BITS, counts >> COUNT_BITS & low, counts & low
-        # A link ends wherever a token of either side does.
-        self.rows.append((
-            doc_id, n_a, n_b, n_groups, n_a + n_b - n_groups, hashlib.sha256(groups.encode()).hexdigest() if groups else "",
-        ))
+        self.rows.append((doc_id, hashlib.sha256(groups.encode()).hexdigest() if groups else ""))
         self.of_text.append(np.array(numbers, dtype=np.int64))
         self.size += size
 
@@ -274,7 +270,12 @@ class Block:
         first = np.append(True, text[1:] != text[:-1])
         by_rank = np.argsort(rank)
         inner = np.arange(length.sum()) - np.repeat(segments(length[by_rank])[:-1], length[by_rank])
-        columns = list(zip(*self.rows))
+        of_kept = [np.array([column[i] for i in used.tolist()], dtype=np.int64)[by_rank] for column in (self.records.n_a, self.records.n_b, self.records.n_groups)]
+        begins = segments(np.bincount(text, minlength=len(self.rows)))
+        n_a, n_b, n_groups = (np.diff(segments(n[chunk] * times)[begins]) for n in of_kept)
+        # A link ends wherever a token of either side does.
+        doc_ids, digests = zip(*self.rows)
+        columns = (doc_ids, n_a.tolist(), n_b.tolist(), n_groups.tolist(), (n_a + n_b - n_groups).tolist(), digests)
         return {
             "block": number, "same": pairs[regular] >> SHIFT, "same_docs": docs[regular],
             "pairs": pairs[~regular], "pair_docs": docs[~regular],
