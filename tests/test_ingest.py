@@ -316,6 +316,29 @@ def test_loading_again_stores_nothing(spark, loaded):
     assert sorted(r.ingest_id for r in store.ingests().collect()) == [1, 2, 3, 4, 5, 6]
 
 
+@pytest.mark.parametrize("step", ["append_events", "append_ingests"])
+def test_a_load_that_fails_is_as_if_it_had_not_been(spark, tmp_path, monkeypatch, step):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    line = HEAD + "Failed password for root from 1.2.3.4 port 50 ssh2"
+    (logs / "auth.log").write_text("\n".join([line, line.replace("port 50", "port 51"), "Feb 30 01:01:01 web1 sshd[1]: Invalid user a from 1.1.1.1 port 9"]))
+    store = EventStore(spark, str(tmp_path / "store"))
+
+    def fails(*_):
+        raise OSError("no more room")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(EventStore, step, fails)
+        with pytest.raises(OSError):
+            ingest(spark, logs_glob(logs), store, 2026)
+    assert (store.events().count(), store.errors().count(), store.ingests().count(), store.last_ingest_id()) == (0, 0, 0, 0)
+    done = ingest(spark, logs_glob(logs), store, 2026).ingests.first()
+    assert (done.ingest_id, done.events_persisted, done.duplicates_skipped) == (1, 3, 0)
+    assert (store.events().count(), store.events().select("dedup_hash").distinct().count()) == (3, 3)
+    assert (store.errors().count(), store.ingests().count()) == (1, 1)
+    assert "load" not in store.events().columns
+
+
 def test_store_round_trip(loaded):
     _, store, result = loaded
     columns = [c for c in store.events().columns if c != "event_date"]

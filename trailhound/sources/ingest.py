@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -182,8 +183,10 @@ def ingest(
     min_confidence: float = MIN_CONFIDENCE,
     large_bytes: int = LARGE_BYTES,
 ) -> IngestResult:
-    """Load log files into the store. Loading the same files again stores nothing new."""
+    """Load log files into the store. Loading the same files again stores nothing new; a load that
+    failed is as if it had not been."""
     pin_settings(spark)
+    load = uuid.uuid4().hex
     loaded = load_files(spark, path, formats, min_confidence, large_bytes)
     detected = loaded.detected
     parsed = materialize(
@@ -217,11 +220,12 @@ def ingest(
             *[F.coalesce(c, F.lit(0)).alias(c) for c in ("lines_read", "events_emitted", "lines_skipped")],
             F.coalesce("persisted", F.lit(0)).alias("events_persisted"),
             (F.coalesce("events_emitted", F.lit(0)) - F.coalesce("persisted", F.lit(0))).alias("duplicates_skipped"),
+            F.lit(load).alias("load"),
         )
     )
     errors = parse_errors(parsed)
-    store.append_errors(files.select("file", "ingest_id").join(errors, "file"))
-    store.append_events(fresh)
     ingests = materialize(ingests)
-    store.append_ingests(ingests)
-    return IngestResult(ingests, errors, rejected_files(detected, min_confidence, formats), fresh)
+    store.append_errors(files.select("file", "ingest_id").join(errors, "file"), load)
+    store.append_events(fresh, load)
+    store.append_ingests(ingests)  # the load is complete
+    return IngestResult(ingests.drop("load"), errors, rejected_files(detected, min_confidence, formats), fresh)

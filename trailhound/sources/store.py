@@ -1,4 +1,9 @@
-"""The event store: parquet tables partitioned by event date."""
+"""The event store: parquet tables partitioned by load and event date.
+
+A load writes its rows under a name of its own, and last its run records, which are the mark
+that it is complete: readers see only rows of loads that have some. A load that fails between
+leaves rows that nobody sees; loading again writes them anew, so nothing is lost or doubled.
+"""
 
 from __future__ import annotations
 
@@ -30,8 +35,12 @@ INGEST = T.StructType(
         T.StructField("lines_skipped", T.LongType()),
         T.StructField("events_persisted", T.LongType()),
         T.StructField("duplicates_skipped", T.LongType()),
+        T.StructField("load", T.StringType()),
     ]
 )
+LOAD = T.StructField("load", T.StringType())
+#: The load of rows that are written without a run; they are always seen.
+WITHOUT_RUN = "none"
 PARSE_ERROR = T.StructType(
     [
         T.StructField("ingest_id", T.LongType()),
@@ -43,6 +52,10 @@ PARSE_ERROR = T.StructType(
 )
 
 
+def _with_load(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, LOAD])
+
+
 @dataclass(frozen=True)
 class EventStore:
     spark: SparkSession
@@ -56,9 +69,14 @@ class EventStore:
                 raise
             return self.spark.createDataFrame([], schema)
 
+    def _complete(self, rows: DataFrame) -> DataFrame:
+        """Rows of complete loads. The load is a folder, so those of others are not read."""
+        loads = self.ingests().select("load").unionByName(self.spark.createDataFrame([(WITHOUT_RUN,)], "load string"))
+        return rows.join(loads.distinct(), "load", "left_semi").drop("load")
+
     def events(self) -> DataFrame:
         """Stored events. Order by time is left to the windows that need it."""
-        return self._read("events", STORED_EVENT)
+        return self._complete(self._read("events", _with_load(STORED_EVENT)))
 
     def events_between(self, since=None, until=None) -> DataFrame:
         """Stored events from `since` (inclusive) up to `until` (exclusive), in order of time.
@@ -72,8 +90,8 @@ class EventStore:
         return rows.orderBy("ts", "event_id")
 
     def errors(self) -> DataFrame:
-        """Every record that could not be read, of all runs."""
-        return self._read("errors", PARSE_ERROR)
+        """Every record that could not be read, of all complete loads."""
+        return self._complete(self._read("errors", _with_load(PARSE_ERROR)))
 
     def ingests(self) -> DataFrame:
         return self._read("ingests", INGEST)
@@ -81,20 +99,21 @@ class EventStore:
     def last_ingest_id(self) -> int:
         return self.ingests().agg(F.coalesce(F.max("ingest_id"), F.lit(0))).first()[0]
 
-    def append_events(self, events: DataFrame) -> None:
+    def append_events(self, events: DataFrame, load: str = WITHOUT_RUN) -> None:
         (
             events.withColumn("event_date", F.to_date("ts"))
-            .select(*STORED_EVENT.fieldNames())
+            .select(*STORED_EVENT.fieldNames(), F.lit(load).alias("load"))
             .hint("rebalance", F.col("event_date"))
-            .write.mode("append").partitionBy("event_date").parquet(f"{self.root}/events")
+            .write.mode("append").partitionBy("load", "event_date").parquet(f"{self.root}/events")
         )
 
-    def append_errors(self, errors: DataFrame) -> None:
+    def append_errors(self, errors: DataFrame, load: str = WITHOUT_RUN) -> None:
         errors.select(
-            *[F.col(f.name).cast(f.dataType) for f in PARSE_ERROR.fields]
-        ).write.mode("append").parquet(f"{self.root}/errors")
+            *[F.col(f.name).cast(f.dataType) for f in PARSE_ERROR.fields], F.lit(load).alias("load")
+        ).write.mode("append").partitionBy("load").parquet(f"{self.root}/errors")
 
     def append_ingests(self, ingests: DataFrame) -> None:
+        """The run records of a load, which complete it."""
         ingests.select(
             *[F.col(f.name).cast(f.dataType) for f in INGEST.fields]
         ).write.mode("append").parquet(f"{self.root}/ingests")
