@@ -24,7 +24,6 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import filterfalse
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
